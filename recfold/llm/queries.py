@@ -35,7 +35,111 @@ def op9_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_orc(spark, path))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with known licence sentences."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents")).filter(F.size("sentence_ids") > 0)
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import digests, format_chat, text_part
+
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return digests(format_chat(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format)
 }
-SQL: dict[str, str] = {}
+
+def _op7_sql() -> str:
+    from .chat import END, SAYS, TURN
+
+    text = "coalesce(text, '')"
+    marks = len(TURN) + len(SAYS) + len(END)
+    longer = f"{marks} + length(r) + length(t) + length(r) - length(replace(replace(r, '\\', ''), '<', '')) + length(t) - length(replace(replace(t, '\\', ''), '<', ''))"
+    return f"""
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS r, {text} AS t FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+      coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+      sum({longer})::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id"""
+
+
+def _op6_sql() -> str:
+    from .licenses import RULES, SENTENCES
+
+    known = ", ".join(f"('{sentence}', '{i}')" for i, sentence in SENTENCES.items())
+    holds = ", ".join(f"CASE WHEN regexp_matches(s, ',(.*,)?{',(.*,)?'.join(x.replace('.', '[.]') for x in of)},') THEN '{name}' END" for name, of in RULES)
+    names = ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in RULES))
+    return f"""
+    WITH known(sentence, id) AS (VALUES {known}),
+    lines AS (SELECT doc_id, generate_subscripts(c, 1) AS nth, unnest(c) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\n|[.!?;:][ \t\r\n]|[.!?;:]$') AS c FROM documents)),
+    found AS (SELECT doc_id, string_agg(id, ',' ORDER BY nth) AS sentence_ids FROM lines JOIN known ON trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
+    held AS (SELECT doc_id, sentence_ids, list_distinct([{holds}]) AS h FROM (SELECT *, ',' || sentence_ids || ',' AS s FROM found))
+    SELECT doc_id, sentence_ids, array_to_string(list_filter([{names}], lambda x: list_contains(h, x)), ',') AS licenses FROM held"""
+
+
+def _op2_sql() -> str:
+    from .quality import LEAST_ROWS, LINE_ALLOWANCE, SPREAD, SYMBOL_ALLOWANCE
+
+    word = r"[^\x20\x09-\x0D]+"
+    floor = lambda b: f"(CASE WHEN {b} < 16 THEN {b} ELSE ({b} % 16 + 16) << greatest({b} // 16 - 1, 0)::INT END)::BIGINT"
+    pick = lambda k: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{k} WHEN l.n >= {LEAST_ROWS} THEN l.{k} ELSE a.{k} END AS {k}"
+    level = lambda by: f"""SELECT {by} ratio, max(total) AS n, {", ".join(floor(f"min(bucket) FILTER (WHERE 4 * upto >= {k} * total)") + f" AS q{k}" for k in (1, 2, 3))}
+      FROM (SELECT {by} ratio, bucket, sum(n) OVER (PARTITION BY {by} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} ratio) AS total
+        FROM (SELECT {by} ratio, bucket, sum(n) AS n FROM sketch GROUP BY {by} ratio, bucket)) GROUP BY {by} ratio"""
+    return f"""
+    WITH words AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS w FROM documents)),
+    windows AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS five FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM windows WHERE five IS NOT NULL) WHERE n > 1),
+    repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) r(k) GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+    counts AS (
+      SELECT d.doc_id, lang, source, coalesce(len(regexp_extract_all(text, '{word}')), 0)::BIGINT AS n_words, coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')), 0)::BIGINT AS word_chars,
+        coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+    ratios AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols * 1000000 // greatest(word_chars, 1) AS symbols,
+      word_chars * 1000 // greatest(n_words, 1) AS word_length, n_dup_lines * 1000000 // greatest(n_words, 1) AS lines FROM counts),
+    sketch AS (SELECT lang, source, ratio, CASE WHEN v < 16 THEN v ELSE 16 * (length(bin(v)) - 5) + (v >> greatest(length(bin(v)) - 5, 0)::INT) END AS bucket, count(*) AS n
+      FROM (SELECT lang, source, unnest(['symbols', 'word_length', 'lines']) AS ratio, unnest([symbols, word_length, lines]) AS v FROM ratios WHERE NOT base_failed) GROUP BY ALL),
+    own AS ({level("lang, source,")}), langs AS ({level("lang,")}), every AS ({level("")}),
+    cuts AS (SELECT o.lang, o.source, o.ratio, {", ".join(pick(f"q{k}") for k in (1, 2, 3))}
+      FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN every a ON o.ratio = a.ratio)
+    SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND coalesce(symbols <= s.q2 + {SPREAD} * (s.q3 - s.q2) + {SYMBOL_ALLOWANCE}
+        AND word_length BETWEEN w.q2 - {SPREAD} * (w.q2 - w.q1) - w.q2 // 2 AND w.q2 + {SPREAD} * (w.q3 - w.q2) + w.q2 // 2
+        AND lines <= n.q2 + {SPREAD} * (n.q3 - n.q2) + {LINE_ALLOWANCE}, false) AS kept
+    FROM ratios r
+    LEFT JOIN cuts s ON s.ratio = 'symbols' AND s.lang IS NOT DISTINCT FROM r.lang AND s.source IS NOT DISTINCT FROM r.source
+    LEFT JOIN cuts w ON w.ratio = 'word_length' AND w.lang IS NOT DISTINCT FROM r.lang AND w.source IS NOT DISTINCT FROM r.source
+    LEFT JOIN cuts n ON n.ratio = 'lines' AND n.lang IS NOT DISTINCT FROM r.lang AND n.source IS NOT DISTINCT FROM r.source"""
+
+
+SQL: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_chat_format": _op7_sql()}
