@@ -71,8 +71,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests, repeats
+
+    return digests(repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format, op5_suffix_dedup)
 }
 
 def _op7_sql() -> str:
