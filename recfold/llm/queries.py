@@ -77,8 +77,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repeats(table(spark, sf_dir, "documents")))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and the words that agree."""
+    from .decontaminate import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format, op5_suffix_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format, op5_suffix_dedup, op3_benchmark_decontamination)
 }
 
 def _op7_sql() -> str:
