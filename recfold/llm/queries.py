@@ -84,8 +84,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format, op5_suffix_dedup, op3_benchmark_decontamination)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_orc_token_ids, op10_simhash_near_dedup, op2_quality_rules, op6_license_scan, op7_chat_format, op5_suffix_dedup, op3_benchmark_decontamination, op8_html_extraction)
 }
 
 def _op7_sql() -> str:
