@@ -36,42 +36,48 @@ SEED = 42
 UNPACK = 1 << 16
 
 
-def fingerprint_batch(texts: list[bytes | None], words_per_shingle: int) -> np.ndarray:
+def shingle_hashes(text: bytes | None, words_per_shingle: int) -> list[int]:
+    """XXH64 of each shingle of a text, repeats included."""
     from xxhash import xxh64_intdigest as digest
 
-    out, counts, hashes = np.zeros(len(texts), np.uint64), [], []
-    filled: list[int] = []
-
-    def flush() -> None:
-        if filled:
-            h = np.fromiter((x for part in hashes for x in part), dtype="<u8", count=sum(counts))
-            n = np.array(counts)
-            starts = np.cumsum(n) - n
-            ones = np.zeros((len(n), 64), np.int64)
-            for first in range(0, len(h), UNPACK):  # a very long text is added up in steps
-                bits = np.unpackbits(h[first : first + UNPACK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                here = np.flatnonzero((starts < first + UNPACK) & (starts + n > first))
-                ones[here] += np.add.reduceat(bits, np.maximum(starts[here] - first, 0), axis=0, dtype=np.int32)
-            out[filled] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        counts.clear(), hashes.clear(), filled.clear()
-
-    total = 0
+    words = text.lower().split() if text else []  # of bytes: A-Z alone, and the six white spaces of ASCII
+    if not words:
+        return []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    k = min(words_per_shingle, len(words))
+    begin = [0, *(ends[: len(words) - k] + 1).tolist()]
+    return [digest(joined[a:b], SEED) for a, b in zip(begin, ends[k - 1 :].tolist(), strict=True)]
+
+
+def hashed_runs(texts: list[bytes | None], words_per_shingle: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(texts with words, where each begins, all their hashes), about UNPACK hashes at a time."""
+    rows, counts, flat = [], [], []
     for i, text in enumerate(texts):
-        words = text.lower().split() if text else []  # of bytes: A-Z alone, and the six white spaces of ASCII
-        if not words:
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        k = min(words_per_shingle, len(words))
-        begin = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
-        hashes.append([digest(joined[a:b], SEED) for a, b in zip(begin, ends[k - 1 :].tolist(), strict=True)])
-        counts.append(len(begin))
-        filled.append(i)
-        total += len(begin)
-        if total >= UNPACK:
-            flush()
-            total = 0
-    flush()
+        if found := shingle_hashes(text, words_per_shingle):
+            rows.append(i), counts.append(len(found))
+            flat += found
+        if rows and (len(flat) >= UNPACK or i == len(texts) - 1):
+            yield rows, np.cumsum(counts) - np.array(counts), np.array(flat, dtype="<u8")
+            rows, counts, flat = [], [], []
+    if rows:
+        yield rows, np.cumsum(counts) - np.array(counts), np.array(flat, dtype="<u8")
+
+
+def _fingerprints(starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    n = np.diff(np.concatenate((starts, [len(h)])))
+    ones = np.zeros((len(n), 64), np.int64)
+    for first in range(0, len(h), UNPACK):  # a very long text is added up in steps
+        bits = np.unpackbits(h[first : first + UNPACK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        here = np.flatnonzero((starts < first + UNPACK) & (starts + n > first))
+        ones[here] += np.add.reduceat(bits, np.maximum(starts[here] - first, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint_batch(texts: list[bytes | None], words_per_shingle: int) -> np.ndarray:
+    out = np.zeros(len(texts), np.uint64)
+    for rows, starts, h in hashed_runs(texts, words_per_shingle):
+        out[rows] = _fingerprints(starts, h)
     return out
 
 
@@ -102,39 +108,43 @@ def _close(a: np.ndarray, b: np.ndarray, table_a: np.ndarray, table_b: np.ndarra
     return left[np.bitwise_count(a[left] ^ b[left if len(b) == len(a) else slice(None)]) <= max_bits]
 
 
-def links_of(fps: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int, pivots: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def links_of(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray | None, group: np.ndarray, max_bits: int, pivots: int, least_equal: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``group``: all in small groups, a spanning forest in large ones."""
     if not len(fps):
-        return fps, fps
+        return ids, ids
     table = pivot_table(fps, pivots)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(fps)])))
-    out_a, out_b = [], []
-    size_of = np.repeat(sizes, sizes)
-    end_of = np.repeat(starts + sizes, sizes)
+    out_a, out_b = [ids[:0]], [ids[:0]]
+    size_of, end_of = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes)
+
+    def linked(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        got = _close(fps[rows], fps[other], table[rows], table[other], max_bits)
+        if signs is not None and len(got):
+            o = other[got] if len(other) == len(rows) else other
+            got = got[np.count_nonzero(signs[rows[got]] == signs[o], axis=1) >= least_equal]
+        return got
+
     rows = np.flatnonzero(size_of <= small)
     for step in range(1, small):
         rows = rows[rows + step < end_of[rows]]
         if not len(rows):
             break
-        other = rows + step
-        got = _close(fps[rows], fps[other], table[rows], table[other], max_bits)
-        out_a.append(fps[rows[got]])
-        out_b.append(fps[other[got]])
+        got = linked(rows, rows + step)
+        out_a.append(ids[rows[got]])
+        out_b.append(ids[rows[got] + step])
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
         left = np.arange(s, s + n)
         while len(left):
             frontier, left = [left[0]], left[1:]
             while frontier and len(left):
                 x = frontier.pop()
-                got = _close(fps[left], fps[x : x + 1], table[left], table[x : x + 1], max_bits)
+                got = linked(left, np.array([x]))
                 if len(got):
-                    out_a.append(np.full(len(got), fps[x]))
-                    out_b.append(fps[left[got]])
+                    out_a.append(np.full(len(got), ids[x]))
+                    out_b.append(ids[left[got]])
                     frontier.extend(left[got])
                     left = np.delete(left, got)
-    if not out_a:
-        return fps[:0], fps[:0]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -159,36 +169,40 @@ def links(fps: DataFrame, max_bits: int = 4, shared: int | None = None, pivots:
     shared = shared or blocks_to_share(fps.count(), max_bits)
     signed = [m - (1 << 64) if m >> 63 else m for m in bucket_masks(max_bits, shared)]
     key = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)))).alias("k")
-    keyed = fps.select("fp", key).select("fp", "k.mask", "k.bits")
+    keyed = fps.select("fp", key).select("k.mask", "k.bits", F.col("fp").alias("id"), "fp", F.lit(None).cast("binary").alias("sign"))
+    return links_in_buckets(keyed, max_bits, pivots, 0, block)
+
+
+def links_in_buckets(keyed: DataFrame, max_bits: int, pivots: int, least_equal: int, block: int) -> DataFrame:
+    """(u, v): links among nodes (id, fp, sign) that share a bucket (mask, bits) and, where they have signs, ``least_equal`` bytes of them."""
     sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     full = keyed.join(sizes, ["mask", "bits"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("mask", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
-    dealt = dealt.repartition("mask", "bits", "i", "j").sortWithinPartitions("mask", "bits", "i", "j", "fp")
+    dealt = dealt.select("mask", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "fp", "sign")
+    dealt = dealt.repartition("mask", "bits", "i", "j").sortWithinPartitions("mask", "bits", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def found(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of(fp.view(np.uint64), group, group, max_bits, pivots)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+        def found(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+            sign = table.column("sign")
+            signs = None if sign.null_count else np.frombuffer(b"".join(sign.to_pylist()), np.uint8).reshape(len(table), -1)
+            a, b = links_of(table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64), signs, group, max_bits, pivots, least_equal)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("mask", "bits", "i", "j")]
-            fp = batch.column("fp").to_numpy()
-            if held is not None:
-                keys, fp = [np.concatenate(x) for x in zip(held[0], keys, strict=True)], np.concatenate((held[1], fp))
-            if not len(fp):
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(table):
                 continue
-            new = np.concatenate(([False], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
-            group = np.cumsum(new)
-            last = np.searchsorted(group, group[-1])  # the last group may go on
-            held = [k[last:] for k in keys], fp[last:]
+            keys = [table.column(c).to_numpy() for c in ("mask", "bits", "i", "j")]
+            group = np.cumsum(np.concatenate(([False], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+            last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            held = table.slice(last)
             if last:
-                yield found(fp[:last], group[:last])
-        if held is not None and len(held[1]):
-            yield found(held[1], np.zeros(len(held[1]), np.int64))
+                yield found(table.slice(0, last), group[:last])
+        if held is not None and len(held):
+            yield found(held, np.zeros(len(held), np.int64))
 
     return map_batches(dealt, run, "u long, v long")
 
@@ -202,3 +216,67 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
     ids = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     classes = linked.join(ids, "root").select("fp", "component_id")
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Minimum hashes of a text: BANDS buckets of BAND_ROWS each find texts that are alike, all of them together say how much.
+BANDS, BAND_ROWS = 16, 3
+
+
+def sketch_batch(texts: list[bytes | None], words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints, and the minimum hashes of each text under BANDS * BAND_ROWS fixed multipliers."""
+    odd = np.random.default_rng(SEED).integers(1, 1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fps, least = np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(odd)), np.uint64)
+    for rows, starts, h in hashed_runs(texts, words_per_shingle):
+        fps[rows] = _fingerprints(starts, h)
+        for k, m in enumerate(odd):
+            least[rows, k] = np.minimum.reduceat(h * m, starts)
+    return fps, least
+
+
+def near_copies(numbered: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = 4096) -> DataFrame:
+    """(row, root) of rows of ``numbered`` (row, text) that have a near copy; equal roots are one group.
+
+    At a similarity of 0.8 fingerprints differ in more bits than equal blocks can find, so buckets are
+    bands of minimum hashes, which texts so alike share almost surely. In a bucket the pivots discard,
+    the distance verifies a share of ``similarity`` equal bits, and the minimum hashes confirm the
+    share of equal shingles, less one and a half standard deviations of their sampling error.
+    """
+    schema = "row long, id long, fp long, sign binary, bands array<long>"
+    n = BANDS * BAND_ROWS
+    least_equal = int(n * similarity - 1.5 * np.sqrt(n * similarity * (1 - similarity)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        for batch in batches:
+            fps, least = sketch_batch(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
+            sign = np.ascontiguousarray((least >> np.uint64(40)).astype(np.uint8))
+            bands = np.array([[digest(least[i, b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)] for i in range(len(fps))], dtype=np.uint64).reshape(len(fps), BANDS)
+            ids = np.array([digest(least[i].tobytes(), int(fps[i]) & 0xFFFFFFFF) for i in range(len(fps))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(ids.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sign], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))],
+                names=["row", "id", "fp", "sign", "bands"],
+            )
+
+    sketched = written(map_batches(numbered.select("row", "text"), run, schema), "sketches")
+    nodes = sketched.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    keyed = nodes.select("id", "fp", "sign", F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "id", "fp", "sign")
+    found = components(links_in_buckets(keyed, int(64 * (1 - similarity)), pivots, least_equal, block))
+    roots = written(found.withColumnRenamed("node", "id"), "roots")
+    each = sketched.select("row", "id")
+    copied = each.groupBy("id").agg(F.count("*").alias("n")).join(roots, "id", "left").filter("n > 1 or root is not null")
+    return each.join(copied, "id").select("row", F.coalesce("root", "id").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies, its least doc_id (a null last, then the first read). Texts without words are copies of each other."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    groups = near_copies(numbered.select(F.col(name).alias("row"), "text"), **options)
+    ranked = numbered.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
+    ranked = written(ranked.select("row", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("rank")), "groups")
+    kept = ranked.groupBy("root").agg(F.min("rank").alias("least"))
+    gone = ranked.join(kept, "root").filter("rank != least").select(F.col("row").alias(name))
+    return numbered.join(gone, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

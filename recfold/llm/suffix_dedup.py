@@ -229,7 +229,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     clash = {"row", "found"} & {c.lower() for c in docs.columns}
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"kept_{c}" if c.lower() in clash else c) for c in docs.columns))
     joined = spans_joined(numbered_rows(renamed), length).drop("row")
-    names = [f"kept_{c}" if c.lower() in clash else c for c in docs.columns]
+    columns = list(docs.columns)
+    names = [f"kept_{c}" if c.lower() in clash else c for c in columns]
 
     def make(batch: pa.RecordBatch, texts: list[bytes], spans: list) -> pa.RecordBatch:
         text = batch.column("text")
@@ -237,7 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             old = text.to_pylist()
             text = pa.array([o if s is None else kept_bytes(t, s).decode(errors="ignore") for o, t, s in zip(old, texts, spans, strict=True)], pa.string())
         keep = pa.array([s is None or bool(x.strip()) for s, x in zip(spans, text.to_pylist(), strict=True)])
-        out = pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=list(docs.columns))
+        out = pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=columns)
         return out.filter(keep)
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields])
