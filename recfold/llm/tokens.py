@@ -1,124 +1,130 @@
-"""Exact token ids for whole texts with the ``tokenizers`` library, one library call per distinct word.
+"""Exact token ids for whole texts with the ``tokenizers`` library, each distinct word encoded once a batch.
 
-A byte-level BPE never merges across the words its pattern cuts. A cut always falls before a space
-that follows something other than white space, so a text can be split there and each segment encoded
-alone, once, and looked up after that. Texts where a space touches other white space are given to
-the library whole, as are segments of anything but Latin letters and one trailing mark.
+A byte-level BPE never merges across the words its pattern cuts. Where no two white spaces stand
+together, the pattern cuts before every space and around every line feed, and between a letter or
+digit and the sentence marks after it. So texts are split there, the distinct stems and marks of a
+batch are encoded once, and the texts' ids are put together from those by array operations. Texts with white spaces side by side go to the library
+whole, as do words that hold any other white space or a special string.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A space that touches other white space: such texts are encoded whole.
-_UNSAFE = r"[\s\p{Z}\x0b\x1c-\x1f\x85] (?:[\s\p{Z}\x0b\x1c-\x1f\x85]|$)"
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 _MARKS = ".,;:!?"
-#: Entries of a worker's word table; a full table starts again empty.
-CACHE_WORDS = 400_000
+#: What is surely one piece for the pattern: letters, digits or marks, with a space before them or none.
+_ONE_PIECE = r"^ ?([A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[.,;:!?]+)$"
+_ID = attrgetter("id")
+#: Words whose ids a worker keeps.
+KNOWN_WORDS = 100_000
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def gathered(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches pool[first : first + size], one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordEncoder:
     """Ids of many texts at a time. Special strings inside texts are handled as the library does by default."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.symbols = _byte_symbols()
-        self.words: dict[str, np.ndarray] = {}
-        self.cache_words = cache_words
+        self.symbols = byte_symbols()
+        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each text."""
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> np.ndarray:
-        """Ids of a word of letters, which is one pre-token: the model's merges are enough."""
-        mapped = word.encode().decode("latin-1").translate(self.symbols)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=np.uint32)
-
-    def segments(self, unique: list[str]) -> list[np.ndarray]:
-        """Ids of each segment; all begin with their space, but for those at the start of a text."""
-        words, out, rest = self.words, [None] * len(unique), []
-        if len(words) > self.cache_words:
-            words.clear()
-        for i, s in enumerate(unique):
-            if (ids := words.get(s)) is not None:
-                out[i] = ids
-                continue
-            stem, mark = (s[:-1], s[-1:]) if s and s[-1] in _MARKS else (s, "")
-            if _LETTERS.fullmatch(stem, 1 if stem[:1] == " " else 0):
-                if (ids := words.get(stem)) is None:
-                    ids = words[stem] = self._letters(stem)
-                if mark:
-                    if (tail := words.get(mark)) is None:
-                        tail = words[mark] = self.whole([mark])[0]
-                    ids = words[s] = np.concatenate((ids, tail))
-                out[i] = ids
-            else:
-                rest.append(i)
-        if rest:
-            for i, ids in zip(rest, self.whole([unique[i] for i in rest]), strict=True):
-                out[i] = words[unique[i]] = ids
-        return out
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the offsets of each text in them. A null is an empty text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
-        n = len(texts)
-        lengths = np.zeros(n, dtype=np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        safe = np.flatnonzero(~unsafe)
-        if len(safe):
-            split = pc.split_pattern(texts.take(pa.array(safe)), " ")
-            starts, flat = split.offsets.to_numpy(), split.values
-            coded = flat.dictionary_encode()
-            codes = coded.indices.to_numpy()
-            unique = [" " + w for w in coded.dictionary.to_pylist()]
-            table = self.segments(unique)
-            # the first segment of a text has no space before it
-            heads = codes[starts[:-1]]
-            head_codes, head_index = np.unique(heads, return_inverse=True)
-            codes = codes.astype(np.int64)
-            codes[starts[:-1]] = len(unique) + head_index
-            table += self.segments([unique[c][1:] for c in head_codes]) if len(head_codes) else []
-            sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-            pool = np.concatenate(table) if len(table) else np.zeros(0, np.uint32)
-            at = np.cumsum(sizes) - sizes
-            size, first = sizes[codes], at[codes]
-            total = np.concatenate(([0], np.cumsum(size)))
-            ids = pool[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
-            bounds = total[starts]
-            lengths[safe] = np.diff(bounds)
-            parts.append((safe, bounds, ids))
-        odd = np.flatnonzero(unsafe)
-        if len(odd):
+    def words(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each string has its own. Strings that the pattern doesn't cut need the merges alone."""
+        one = pc.match_substring_regex(unique, _ONE_PIECE).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        symbols = "\n".join(unique.take(pa.array(plain)).to_pylist()).encode().decode("latin-1").translate(self.symbols)
+        known, merged = self.known.get, self.merged
+        parts = [known(w) or merged(w) for w in symbols.split(self.symbols[10])] if len(plain) else []
+        parts += [x.tobytes() for x in self.whole(unique.take(pa.array(rest)).to_pylist())]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        size, first = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        order = np.concatenate((plain, rest))
+        size[order], first[order] = lengths, np.cumsum(lengths) - lengths
+        return np.frombuffer(b"".join(parts), np.uint32), first, size
+
+    def merged(self, word: str) -> bytes:
+        """The ids of one piece by the library's merges. The words seen first, most common ones among them, are kept."""
+        ids = array("I", map(_ID, self.tokenizer.model.tokenize(word))).tobytes()
+        if len(self.known) < KNOWN_WORDS:
+            self.known[word] = ids
+        return ids
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and offsets of texts without white spaces side by side."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        codes, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        heads, nth = np.unique(codes[starts[:-1]], return_inverse=True)  # the first of a text has no space before it
+        codes[starts[:-1]] = len(unique) + nth
+        fed = pc.starts_with(unique, "\n").to_numpy(zero_copy_only=False)
+        bodies = pc.replace_substring_regex(unique, "^\n", "")
+        spaced = pc.if_else(pa.array(fed), bodies, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), bodies, pa.scalar(" ", pa.large_string())))
+        bodies = pa.concat_arrays([spaced, unique.take(pa.array(heads))])
+        fed = np.concatenate((fed, np.zeros(len(heads), bool)))
+        stems = pc.utf8_rtrim(bodies, characters=_MARKS)
+        apart = pc.match_substring_regex(stems, r"[\p{L}\p{N}]$")
+        stems = pc.if_else(apart, stems, bodies)
+        marks = pc.if_else(apart, pc.replace_substring_regex(bodies, rf"^.*[^{_MARKS}]", ""), "")
+        stem, mark = stems.dictionary_encode(), marks.cast(pa.large_string()).dictionary_encode()
+        pool, first, size = self.words(pa.concat_arrays([stem.dictionary, mark.dictionary, pa.array(["\n", ""], pa.large_string())]))
+        parts = np.stack([  # of each distinct word: a line feed or nothing, its stem, its marks
+            len(first) - 1 - fed, stem.indices.to_numpy(), len(stem.dictionary) + mark.indices.to_numpy().astype(np.int64)], axis=1).ravel()
+        word_size = size[parts].reshape(-1, 3).sum(axis=1)
+        words = gathered(pool, first[parts], size[parts])
+        word_first = np.cumsum(word_size) - word_size
+        total = np.concatenate(([0], np.cumsum(word_size[codes])))
+        return gathered(words, word_first[codes], word_size[codes]), total[starts]
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        unsafe = pc.match_substring_regex(texts, f"{_SPACE}{{2}}").to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        parts = []
+        if len(safe := np.flatnonzero(~unsafe)):
+            parts.append((safe, *self._split(texts.take(pa.array(safe)))))
+        if len(odd := np.flatnonzero(unsafe)):
             got = self.whole(texts.take(pa.array(odd)).to_pylist())
-            lengths[odd] = [len(x) for x in got]
-            parts.append((odd, np.concatenate(([0], np.cumsum(lengths[odd]))), np.concatenate(got)))
+            parts.append((odd, np.concatenate(got), np.concatenate(([0], np.cumsum([len(x) for x in got])))))
+        for rows, _, bounds in parts:
+            lengths[rows] = np.diff(bounds)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         if len(parts) == 1:
-            return parts[0][2], offsets
-        flat_ids = np.empty(offsets[-1], dtype=np.uint32)
-        for rows, bounds, ids in parts:
-            size = lengths[rows]
-            flat_ids[np.repeat(offsets[rows] - bounds[:-1], size) + np.arange(bounds[-1])] = ids
-        return flat_ids, offsets
+            return parts[0][1], offsets
+        first, base = np.zeros(len(texts), np.int64), 0
+        for rows, ids, bounds in parts:
+            first[rows], base = base + bounds[:-1], base + len(ids)
+        return gathered(np.concatenate([ids for _, ids, _ in parts] or [np.zeros(0, np.uint32)]), first, lengths), offsets
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the offsets of each text in them. A null is an empty text."""
+        return self._slice(pc.fill_null(texts.cast(pa.large_string()), ""))
 
 
 @lru_cache(maxsize=2)
