@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -9,10 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Of a written table: what a writer holds in memory before it writes.
+ROW_GROUP_BYTES = 32 << 20
+#: Bytes of text that a worker holds results of at a time.
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +37,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and nothing reads any more, and let Spark drop the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # shuffle files go when the driver finds their plans unreachable
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is columns of files as they are: then rows come in the same order and parts each time."""
+    nodes = [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return all(n.startswith(("Relation", "Project")) for n in nodes if n) and not any("rand" in n or "uuid" in n for n in nodes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +72,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def crc32_u32(values: np.ndarray) -> int:
     """CRC-32 of the values as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(values, dtype="<u4"))

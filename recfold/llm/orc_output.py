@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc32_u32, list_array, list_parts, map_batches, only
+from .common import crc32_u32, list_array, list_parts, map_batches, only, slices
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -30,7 +30,7 @@ SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, stripe_bytes: int = 64 << 20, index_rows: int = 10_000, false_positives: float = 0.01) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, offsets = tokens.with_end(*enc.encode(batch.column("text")), end_id)
             n = len(batch)
             yield pa.RecordBatch.from_arrays(

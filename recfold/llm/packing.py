@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc32_u32, list_array, list_parts, map_batches, only, written
+from .common import crc32_u32, list_array, list_parts, map_batches, only, slices, written
 
 PIECES = "part int, rank long, doc_id long, piece int, start long, length int, ids array<int>"
 PLACES = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int"
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = tokens.encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(max_len + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ids, offsets = tokens.with_end(*enc.encode(batch.column("text")), end_id)
             n = np.diff(offsets)
             count = -(-n // max_len)
