@@ -31,7 +31,7 @@ from math import exp, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, only
+from .common import map_batches, only, slices
 
 LABELS = "SCB"  # structure, content, boilerplate
 #: Pages that the model is trained on, and what is added to every count.
@@ -158,7 +158,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def features(nodes: list[Node]) -> list[tuple[str, ...]]:
-    """The observed features of each node: hint, and with its tag, share of link text and amount of text (of the whole subtree)."""
+    """The observed features of each node, each with its tag: share of link text, hint, amount of text (of the whole subtree)."""
     chars, link = [n.chars for n in nodes], [n.link_chars for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         chars[nodes[i].parent] += chars[i]
@@ -169,7 +169,7 @@ def features(nodes: list[Node]) -> list[tuple[str, ...]]:
         density = "none" if not c else "0" if not k else "low" if share < 0.3 else "half" if share < 0.7 else "high"
         size = "0" if not c else "25" if c < 25 else "100" if c < 100 else "400" if c < 400 else "more"
         own = "own" if n.chars else "no"
-        out.append((f"links:{n.tag} {density}", "hint: " + n.hint, f"size:{n.tag} {size}{own}"))
+        out.append((f"links:{n.tag} {density}", f"hint:{n.tag} {n.hint}", f"size:{n.tag} {size}{own}"))
     return out
 
 
@@ -188,13 +188,17 @@ class Model:
             for n, found in zip(nodes[1:], features(nodes)[1:], strict=True):
                 for tag in (n.tag, ANY):
                     follows[tag, nodes[n.parent].label, n.label] += 1
-                for f in found:
+                for f in (*found, f"hint:{ANY} {n.hint}"):
                     seen[f, n.label] += 1
                     of[f.partition(" ")[0], n.label] += 1
                     ways.setdefault(f.partition(" ")[0], set()).add(f)
         unary = {f: tuple(log((seen[f, y] + SMOOTHING) / (of[kind, y] + SMOOTHING * len(fs))) for y in LABELS) for kind, fs in ways.items() for f in fs}
 
         def table(tag: str, prior: list[list[float]]) -> list[list[float]]:
+            """Counted transitions of a tag; where few were seen, those of all tags to the labels that this tag has."""
+            has = [sum(follows[tag, a, b] for a in LABELS) + 0.05 for b in LABELS]
+            prior = [[p * h for p, h in zip(row, has, strict=True)] for row in prior]
+            prior = [[p / sum(row) for p in row] for row in prior]
             sums = [sum(follows[tag, a, y] for y in LABELS) for a in LABELS]
             return [[(follows[tag, a, b] + p) / (n + 1) for b, p in zip(LABELS, row, strict=True)] for a, n, row in zip(LABELS, sums, prior, strict=True)]
 
@@ -203,21 +207,21 @@ class Model:
 
     def marginals(self, nodes: list[Node]) -> list[list[float]]:
         """Sum-product over the tree: the probability of each label of each node."""
-        n, pair = len(nodes), [self.pairs.get(x.tag) or self.pairs[ANY] for x in nodes]
+        many, pair = len(nodes), [self.pairs.get(x.tag) or self.pairs[ANY] for x in nodes]
         local = []
-        for found in features(nodes):
+        for n, found in zip(nodes, features(nodes), strict=True):
             potential = [0.0, 0.0, 0.0]
             for f in found:
-                u = self.unary.get(f, UNSEEN)
+                u = self.unary.get(f) or self.unary.get(f"hint:{ANY} {n.hint}" if f.startswith("hint:") else "", UNSEEN)
                 potential = [p + x for p, x in zip(potential, u, strict=True)]
             top = max(potential)
             local.append([exp(p - top) for p in potential])
         for i, x in enumerate(nodes):
             if x.tag in ("root", "html", "body"):  # structure by definition
                 local[i] = [1.0, 0.0, 0.0]
-        up = [[1.0, 1.0, 1.0] for _ in range(n)]  # from a node to its parent
+        up = [[1.0, 1.0, 1.0] for _ in range(many)]  # from a node to its parent
         inside = [list(x) for x in local]
-        for i in range(n - 1, 0, -1):
+        for i in range(many - 1, 0, -1):
             message = [sum(p * x for p, x in zip(row, inside[i], strict=True)) for row in pair[i]]
             total = sum(message)
             up[i] = [m / total for m in message]
@@ -225,9 +229,9 @@ class Model:
             scaled = [a * b for a, b in zip(parent, up[i], strict=True)]
             total = sum(scaled)
             inside[nodes[i].parent] = [x / total for x in scaled]
-        belief = [[] for _ in range(n)]
+        belief = [[] for _ in range(many)]
         belief[0] = inside[0]
-        for i in range(1, n):
+        for i in range(1, many):
             without = [b / u if u else 0.0 for b, u in zip(belief[nodes[i].parent], up[i], strict=True)]
             down = [sum(without[a] * pair[i][a][b] for a in range(3)) for b in range(3)]
             both = [d * x for d, x in zip(down, inside[i], strict=True)]
@@ -309,9 +313,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
         ])()
 
     def comments() -> str:
-        said = lambda: pick([el("p", words(1, 3)), ""]) + "".join(el("p", linked(words(*pick([(1, 4), (3, 20), (5, 50)])))) for _ in range(rng.randint(1, 2)))
+        said = lambda: pick([el("p", words(1, 3)), ""]) + "".join(el("p", linked(words(*pick([(1, 4), (3, 20), (5, 50)])))) for _ in range(rng.randint(1, 2))) if rng.random() < 0.75 else linked(words(1, 25))
         one = lambda: pick([lambda: el("article", said(), "", 'class="comment"'), lambda: el(pick(["div", "li"]), said(), "", pick(['class="comment"', ""]))])()
         inner = heading() + "".join(one() for _ in range(rng.randint(1, 6)))
+        if rng.random() < 0.3:
+            inner = heading() + el(pick(["ol", "ul"]), "".join(el("li", said()) for _ in range(rng.randint(1, 5))))
         return el(pick(["section", "div", "ol"]), inner, "B", pick(['class="comments"', 'id="comments"', 'class="comment-list"', 'id="disqus_thread"']))
 
     def before() -> list[str]:
@@ -366,7 +372,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             texts = [model.extract(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
