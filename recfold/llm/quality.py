@@ -1,6 +1,6 @@
 """Quality rules whose cutoffs follow the data: quantile sketches per language and source.
 
-Each text gets counts and, from them, three whole-number ratios. A sketch is a count per bucket of a
+Each text gets counts and, from them, four whole-number ratios. A sketch is a count per bucket of a
 ratio; buckets have a sixteenth of their value as width, so a quantile read from a sketch is off by at
 most that, and sketches merge by adding counts, in any order, to the same sketch. Counts are added up
 where the rows are before anything moves, so a source with a third of all rows costs no more than
@@ -17,6 +17,7 @@ rows are judged alike. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, only, written
+from .common import map_batches, only, slices, written
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
+RATIOS = ("symbols", "word_length", "lines", "echoes")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Spread allowed beyond the median, in distances from the median to the next quartile.
 SPREAD = 8
-#: Fixed allowances: symbols per million word characters, repeated lines per million words.
-SYMBOL_ALLOWANCE, LINE_ALLOWANCE = 20_000, 100_000
+#: Fixed allowances: symbols per million word characters, repeated lines and words equal to the one before per million
+#: words. That of the mean word length is the median itself.
+SYMBOL_ALLOWANCE, LINE_ALLOWANCE, ECHO_ALLOWANCE = 20_000, 100_000, 200_000
 LEAST_ROWS = 200
 
 
@@ -68,7 +71,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def text_counts(text: str | None) -> tuple[int, ...]:
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.encode().split()  # of bytes: the six white spaces of ASCII alone
     lines = [x for x in text.split("\n") if x.encode().split()] if "\n" in text else []
     return (
@@ -77,6 +80,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -85,7 +89,7 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([text_counts(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
             yield batch.append_column(name, pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=list(COUNTS)))
 
@@ -107,6 +111,7 @@ def ratios(c: str = "") -> dict[str, Column]:
         "symbols": _div(F.col(f"{c}n_symbols") * 1_000_000, chars),
         "word_length": _div(F.col(f"{c}word_chars") * 1_000, words),
         "lines": _div(F.col(f"{c}n_dup_lines") * 1_000_000, words),
+        "echoes": _div(F.col(f"{c}n_echo_words") * 1_000_000, words),
     }
 
 
@@ -141,30 +146,29 @@ def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     q = cum.groupBy(*by, "ratio").agg(F.max("total").alias("rows"), *at)
     value = F.struct(*(bucket_floor(F.col(f"b{k}")).alias(f"q{k}") for k in (1, 2, 3)))
     of = lambda r: F.max(F.when(F.col("ratio") == r, value)).alias(r)
-    return q.groupBy(*by).agg(F.max("rows").alias("rows"), of("symbols"), of("word_length"), of("lines"))
+    return q.groupBy(*by).agg(F.max("rows").alias("rows"), *map(of, RATIOS))
 
 
 def cutoffs(sketch: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """One row per language and source: the greatest symbols, word_length and lines, and the least word_length."""
+    """One row per language and source: the greatest symbols, word_length, lines and echoes."""
     own = _quartiles(sketch, ["lang", "source"])
-    names = ("rows", "symbols", "word_length", "lines")
+    names = ("rows", *RATIOS)
     lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), *(F.col(x).alias(f"l_{x}") for x in names))
     every = _quartiles(sketch.withColumn("all", F.lit(1)), ["all"]).select("all", *(F.col(x).alias(f"a_{x}") for x in names))
     joined = own.join(lang, own.lang.eqNullSafe(lang.l_lang)).withColumn("all", F.lit(1)).join(every, "all")
     pick = lambda x: F.when(F.col("rows") >= least, F.col(x)).when(F.col("l_rows") >= least, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
-    s, w, n = pick("symbols"), pick("word_length"), pick("lines")
+    s, w, n, e = map(pick, RATIOS)
     high = lambda q: q.q2 + SPREAD * (q.q3 - q.q2)
-    half = _div(w.q2, F.lit(2))
     return joined.select(
         F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), (high(s) + SYMBOL_ALLOWANCE).alias("most_symbols"),
-        (high(w) + half).alias("most_length"), (w.q2 - SPREAD * (w.q2 - w.q1) - half).alias("least_length"), (high(n) + LINE_ALLOWANCE).alias("most_lines"),
+        (high(w) + w.q2).alias("most_length"), (high(n) + LINE_ALLOWANCE).alias("most_lines"), (high(e) + ECHO_ALLOWANCE).alias("most_echoes"),
     )
 
 
 def judged(counted: DataFrame, cuts: DataFrame, c: str = "") -> DataFrame:
     """All columns of ``counted``, base_failed and kept."""
     r = ratios(c)
-    good = (r["symbols"] <= F.col("most_symbols")) & r["word_length"].between(F.col("least_length"), F.col("most_length")) & (r["lines"] <= F.col("most_lines"))
+    good = (r["symbols"] <= F.col("most_symbols")) & (r["word_length"] <= F.col("most_length")) & (r["lines"] <= F.col("most_lines")) & (r["echoes"] <= F.col("most_echoes"))
     rows = counted.join(cuts, counted["lang"].eqNullSafe(cuts["cut_lang"]) & counted["source"].eqNullSafe(cuts["cut_source"]), "left")
     return rows.withColumn("base_failed", base_failed(c)).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop(*cuts.columns)
 
@@ -173,7 +177,7 @@ def quality(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of ``docs``."""
     counted = with_counts(only(docs, "doc_id", "lang", "source", "text"), "counts").select("doc_id", "lang", "source", "counts.*")
     counted = written(counted, "quality-counts")
-    return judged(counted, cutoffs(sketches(counted), least)).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(counted, cutoffs(sketches(counted), least)).select("doc_id", *COUNTS[:5], "base_failed", "kept", COUNTS[5])
 
 
 def quality_filter(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:

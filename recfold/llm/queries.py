@@ -126,11 +126,12 @@ def _op6_sql() -> str:
 
 
 def _op2_sql() -> str:
-    from .quality import LEAST_ROWS, LINE_ALLOWANCE, SPREAD, SYMBOL_ALLOWANCE
+    from .quality import ECHO_ALLOWANCE, LEAST_ROWS, LINE_ALLOWANCE, RATIOS, SPREAD, SYMBOL_ALLOWANCE
 
     word = r"[^\x20\x09-\x0D]+"
     floor = lambda b: f"(CASE WHEN {b} < 16 THEN {b} ELSE ({b} % 16 + 16) << greatest({b} // 16 - 1, 0)::INT END)::BIGINT"
     pick = lambda k: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{k} WHEN l.n >= {LEAST_ROWS} THEN l.{k} ELSE a.{k} END AS {k}"
+    cut = lambda x, ratio: f"LEFT JOIN cuts {x} ON {x}.ratio = '{ratio}' AND {x}.lang IS NOT DISTINCT FROM r.lang AND {x}.source IS NOT DISTINCT FROM r.source"
     level = lambda by: f"""SELECT {by} ratio, max(total) AS n, {", ".join(floor(f"min(bucket) FILTER (WHERE 4 * upto >= {k} * total)") + f" AS q{k}" for k in (1, 2, 3))}
       FROM (SELECT {by} ratio, bucket, sum(n) OVER (PARTITION BY {by} ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} ratio) AS total
         FROM (SELECT {by} ratio, bucket, sum(n) AS n FROM sketch GROUP BY {by} ratio, bucket)) GROUP BY {by} ratio"""
@@ -139,26 +140,23 @@ def _op2_sql() -> str:
     windows AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS five FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM windows WHERE five IS NOT NULL) WHERE n > 1),
     repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) r(k) GROUP BY doc_id),
+    echoes AS (SELECT doc_id, count(*) FILTER (WHERE w = before) AS n_echo_words FROM (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words) GROUP BY doc_id),
     lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
     counts AS (
       SELECT d.doc_id, lang, source, coalesce(len(regexp_extract_all(text, '{word}')), 0)::BIGINT AS n_words, coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')), 0)::BIGINT AS word_chars,
-        coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-      FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+        coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_echo_words, 0)::BIGINT AS n_echo_words
+      FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN echoes USING (doc_id)),
     ratios AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols * 1000000 // greatest(word_chars, 1) AS symbols,
-      word_chars * 1000 // greatest(n_words, 1) AS word_length, n_dup_lines * 1000000 // greatest(n_words, 1) AS lines FROM counts),
+      word_chars * 1000 // greatest(n_words, 1) AS word_length, n_dup_lines * 1000000 // greatest(n_words, 1) AS lines, n_echo_words * 1000000 // greatest(n_words, 1) AS echoes FROM counts),
     sketch AS (SELECT lang, source, ratio, CASE WHEN v < 16 THEN v ELSE 16 * (length(bin(v)) - 5) + (v >> greatest(length(bin(v)) - 5, 0)::INT) END AS bucket, count(*) AS n
-      FROM (SELECT lang, source, unnest(['symbols', 'word_length', 'lines']) AS ratio, unnest([symbols, word_length, lines]) AS v FROM ratios WHERE NOT base_failed) GROUP BY ALL),
+      FROM (SELECT lang, source, unnest([{", ".join(f"'{r}'" for r in RATIOS)}]) AS ratio, unnest([{", ".join(RATIOS)}]) AS v FROM ratios WHERE NOT base_failed) GROUP BY ALL),
     own AS ({level("lang, source,")}), langs AS ({level("lang,")}), every AS ({level("")}),
     cuts AS (SELECT o.lang, o.source, o.ratio, {", ".join(pick(f"q{k}") for k in (1, 2, 3))}
       FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN every a ON o.ratio = a.ratio)
     SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      NOT base_failed AND coalesce(symbols <= s.q2 + {SPREAD} * (s.q3 - s.q2) + {SYMBOL_ALLOWANCE}
-        AND word_length BETWEEN w.q2 - {SPREAD} * (w.q2 - w.q1) - w.q2 // 2 AND w.q2 + {SPREAD} * (w.q3 - w.q2) + w.q2 // 2
-        AND lines <= n.q2 + {SPREAD} * (n.q3 - n.q2) + {LINE_ALLOWANCE}, false) AS kept
-    FROM ratios r
-    LEFT JOIN cuts s ON s.ratio = 'symbols' AND s.lang IS NOT DISTINCT FROM r.lang AND s.source IS NOT DISTINCT FROM r.source
-    LEFT JOIN cuts w ON w.ratio = 'word_length' AND w.lang IS NOT DISTINCT FROM r.lang AND w.source IS NOT DISTINCT FROM r.source
-    LEFT JOIN cuts n ON n.ratio = 'lines' AND n.lang IS NOT DISTINCT FROM r.lang AND n.source IS NOT DISTINCT FROM r.source"""
+      NOT base_failed AND coalesce(symbols <= s.q2 + {SPREAD} * (s.q3 - s.q2) + {SYMBOL_ALLOWANCE} AND word_length <= w.q2 + {SPREAD} * (w.q3 - w.q2) + w.q2
+        AND lines <= n.q2 + {SPREAD} * (n.q3 - n.q2) + {LINE_ALLOWANCE} AND echoes <= e.q2 + {SPREAD} * (e.q3 - e.q2) + {ECHO_ALLOWANCE}, false) AS kept, n_echo_words
+    FROM ratios r {cut("s", "symbols")} {cut("w", "word_length")} {cut("n", "lines")} {cut("e", "echoes")}"""
 
 
 SQL: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_chat_format": _op7_sql()}

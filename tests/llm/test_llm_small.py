@@ -142,7 +142,7 @@ def plain_quality(text):
     five = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     twice = {i + k for i in range(len(words) - 4) if five[tuple(words[i : i + 5])] > 1 for k in range(5)}
     lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice), sum(a == b for a, b in zip(words, words[1:], strict=False))
 
 
 def test_quality_counts():
@@ -154,11 +154,11 @@ def test_quality_counts():
 
 def test_quality_cutoffs_follow_their_group(spark):
     clean = " ".join(f"word{i}" for i in range(40))
-    rows = [(i, clean, "en", "a") for i in range(300)] + [(i, clean + " ###" * 20, "en", "a") for i in range(300, 305)] + [(i, clean + " ###" * 20, None, "b") for i in range(305, 600)] + [(600, "short", "en", None), (601, None, None, None)]
+    rows = [(i, clean, "en", "a") for i in range(300)] + [(i, clean + " ###" * 20, "en", "a") for i in range(300, 305)] + [(i, clean + " ###" * 20, None, "b") for i in range(305, 600)] + [(600, "short", "en", None), (601, None, None, None), (602, " ".join(f"w{i} w{i}" for i in range(30)), "en", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in quality.quality(df).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 305))
-    assert not kept[600] and not kept[601]
+    assert not kept[600] and not kept[601] and not kept[602]
     symbolic = [(i, " ".join(f"w{i}{k} #{k}#" for k in range(40)), "xx", "c") for i in range(1000, 1300)]
     both = df.union(spark.createDataFrame(symbolic, df.schema))
     assert all(r.kept for r in quality.quality(both).filter("doc_id >= 1000").collect())  # usual in their own source
