@@ -28,7 +28,7 @@ from . import tokens
 from .common import crc32_u32, list_array, list_parts, map_batches, only, slices, written
 
 PIECES = "part int, rank long, doc_id long, piece int, start long, length int, ids array<int>"
-PLACES = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int"
+PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class CapacityTree:
@@ -146,8 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_len: int = 1024)
                 run = np.searchsorted(ranks, rank[rows], side="right") - 1
                 nth = rank[rows] - ranks[run]
                 sequence[rows], offset[rows] = first[run] + nth // each[run], at[run] + nth % each[run] * x
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset, pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            kept = [batch.column("doc_id"), batch.column("piece"), batch.column("start"), pa.array(length.astype(np.int64)), batch.column("ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     light = map_batches(cut, digest, PIECES.replace("ids array<int>", "ids_crc32 long"))
     ranked = light.join(counts.select("length", "part", "base"), ["length", "part"])
