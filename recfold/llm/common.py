@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 import zlib
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Of a written table: what a writer holds in memory before it writes.
 ROW_GROUP_BYTES = 32 << 20
@@ -56,7 +58,9 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 def is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is columns of files as they are: then rows come in the same order and parts each time."""
     nodes = [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
-    return all(n.startswith(("Relation", "Project")) for n in nodes if n) and not any("rand" in n or "uuid" in n for n in nodes)
+    files = ("parquet", "orc", "json", "csv", "text")
+    plain = (n.startswith("Project") or n.startswith("Relation") and n.endswith(files) for n in nodes if n)
+    return all(plain) and not any("rand" in n or "uuid" in n for n in nodes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +73,10 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with this package on the workers' path: they may start in another folder than the driver."""
+    env = df.sparkSession.sparkContext.environment
+    if PACKAGE_ROOT not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
     return df.mapInArrow(fn, schema)
 
 

@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, map_batches, only, written
+from .common import is_scan, map_batches, only, release, slices, written
 
 SHARE = 5
+#: Runs of a bucket, at about a kilobyte each, that one task holds.
+SPANS_PER_SHARE = 16_384
 #: Bytes of which hashes are held at a time.
 BLOCK = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +121,7 @@ def _rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def find_runs(numbered: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column("row").to_numpy()
             found = [(r, runs_of(x, length)) for r, x in zip(rows, _rows_of(batch), strict=True) if len(x) >= length]
             if not found:
@@ -135,36 +137,83 @@ def find_runs(numbered: DataFrame, length: int) -> DataFrame:
 
 def repeated_intervals(numbered: DataFrame, length: int) -> DataFrame:
     """(row, low, high): suffixes low..high of the row start strings that also start elsewhere."""
-    runs = written(find_runs(numbered, length), "runs")
-    shared = runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    runs = written(runs.join(shared, "bucket"), "shared-runs")
-    spans = runs.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one"))
-    buckets = spans.groupBy("bucket").agg(F.count("*").alias("spans"), F.count(F.when(F.col("n") == 1, 1)).alias("alone"))
-    spans = written(spans.join(buckets, "bucket"), "spans")
+    spark = numbered.sparkSession
+    every = written(find_runs(numbered, length), "runs")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    runs = written(every.join(shared, "bucket"), "shared-runs")
+    release(spark, every)
+    spans = written(runs.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one")), "spans")
+    release(spark)
+    buckets = spans.groupBy("bucket").agg(F.count("*").alias("spans"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).filter("spans > 1 and alone > 0")
     whole = runs.join(spans.filter("n > 1").select("bucket", "span"), ["bucket", "span"]).select("row", "low", "high")
-    # a run alone asks; one run of every other span in its bucket answers
-    asked = spans.filter("spans > 1 and alone > 0").select("bucket", "one.*", (F.col("n") == 1).alias("asks"))
-    wanted = asked.groupBy("row").agg(F.collect_list(F.struct("bucket", "low", "high", "asks")).alias("runs"))  # at most the runs of one text
+    # a run alone asks; one run of every other span in its bucket answers; a large bucket is dealt by identifiers
+    share = F.ceil(F.col("spans") / SPANS_PER_SHARE).cast("int").alias("shares")
+    asked = spans.join(buckets, "bucket").select("bucket", "one.*", (F.col("n") == 1).alias("asks"), share)
+    wanted = asked.groupBy("row").agg(F.collect_list(F.struct("bucket", "low", "high", "asks", "shares")).alias("runs"))  # at most the runs of one text
+    fields = "bucket long, share int, row long, asks boolean, low int, places binary, ids binary"
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
+        for batch in slices(batches):
+            out: list[tuple] = []
             for row, data, of in zip(batch.column("row").to_pylist(), _rows_of(batch), batch.column("runs"), strict=True):
-                bucket, low, high, asks = (of.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                ids, places = suffix_ids(data, length, low, high)
-                n = high - low + 1
-                out.append((np.repeat(bucket, n), ids, np.full(len(ids), row), places, np.repeat(asks, n)))
-            if out:
-                bucket, ids, rows, places, asks = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids.view(np.int64)), pa.array(rows), pa.array(places, pa.int32()), pa.array(asks)], names=["bucket", "id", "row", "low", "asks"])
-
-    suffixes = map_batches(numbered.join(wanted, "row").select("row", "text", "runs"), refine, "bucket long, id long, row long, low int, asks boolean")
-    suffixes = written(suffixes, "suffixes")
-    equal = suffixes.groupBy("bucket", "id").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "id")
-    single = suffixes.filter("asks").join(equal, ["bucket", "id"]).select("row", "low", F.col("low").alias("high"))
+                for r in of.as_py():
+                    ids, places = suffix_ids(data, length, np.array([r["low"]]), np.array([r["high"]]))
+                    if r["shares"] == 1:  # places from low on
+                        out.append((r["bucket"], 0, row, r["asks"], r["low"], None, ids.tobytes()))
+                        continue
+                    to = _mixed(ids) % np.uint64(r["shares"])
+                    for share in range(r["shares"]):
+                        mine = to == share
+                        if mine.any():
+                            out.append((r["bucket"], share, row, r["asks"], r["low"], places[mine].astype(np.int32).tobytes(), ids[mine].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "share", "row", "asks", "low", "places", "ids"])
+
+    suffixes = map_batches(numbered.join(wanted, "row").select("row", "text", "runs"), refine, fields)
+    sorted_buckets = suffixes.repartition("bucket", "share").sortWithinPartitions("bucket", "share")
+    single = written(map_batches(sorted_buckets, _equal_suffixes, "row long, low int, high int"), "equal-suffixes")
+    release(spark)
     return whole.union(single)
 
 
+def _equal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and share: the intervals of asking suffixes whose identifier the share has twice."""
+    held = None
+
+    def found(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        sizes = pc.binary_length(table.column("ids")).to_numpy() // 8
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.uint64)
+        run = np.repeat(np.arange(len(table)), sizes)
+        places = (table.column("low").to_numpy()[run] + np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[run]).astype(np.int32)
+        apart = table.column("places").is_valid().to_numpy()
+        if apart.any():
+            places[apart[run]] = np.frombuffer(b"".join(filter(None, table.column("places").to_pylist())), np.int32)
+        order = np.lexsort((ids, group[run]))
+        same = (ids[order[1:]] == ids[order[:-1]]) & (group[run[order[1:]]] == group[run[order[:-1]]])
+        twice = np.zeros(len(ids), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        at = np.flatnonzero(twice & table.column("asks").to_numpy()[run])
+        new = np.concatenate(([True], (run[at[1:]] != run[at[:-1]]) | (places[at[1:]] != places[at[:-1]] + 1))) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(at) - 1])) if len(at) else first
+        return pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[run[at[first]]]), pa.array(places[at[first]]), pa.array(places[at[last]])], names=["row", "low", "high"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not len(table):
+            continue
+        keys = [table.column(c).to_numpy() for c in ("bucket", "share")]
+        group = np.cumsum(np.concatenate(([False], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+        last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+        held = table.slice(last)
+        if last:
+            yield found(table.slice(0, last), group[:last])
+    if held is not None and len(held):
+        yield found(held, np.zeros(len(held), np.int64))
+
+
 def _merged(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs [begin, end) of a text."""
     order = np.argsort(low, kind="stable")
@@ -174,8 +223,9 @@ def _merged(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, as a written table: a number means the same row wherever it is read."""
-    return written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    """The rows with a number each that means the same row wherever it is read: a table is written unless ``docs`` is one."""
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    return numbered if is_scan(docs) else written(numbered, "numbered")
 
 
 def spans_joined(numbered: DataFrame, length: int) -> DataFrame:
@@ -188,7 +238,7 @@ def cut_batches(length: int, make):
     """A function for mapInArrow: calls make(batch, texts as bytes, [(begins, ends) or None])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = []
             for of in batch.column("found"):
                 spans.append(_merged(of.values.field(0).to_numpy(), of.values.field(1).to_numpy(), length) if of.is_valid else None)
