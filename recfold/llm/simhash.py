@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, only, written
+from .common import is_scan, map_batches, only, slices, written
 from .graph import components
 
 SEED = 42
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = fingerprint_batch(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -169,14 +169,19 @@ def links(fps: DataFrame, max_bits: int = 4, shared: int | None = None, pivots:
     shared = shared or blocks_to_share(fps.count(), max_bits)
     signed = [m - (1 << 64) if m >> 63 else m for m in bucket_masks(max_bits, shared)]
     key = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)))).alias("k")
-    keyed = fps.select("fp", key).select("k.mask", "k.bits", F.col("fp").alias("id"), "fp", F.lit(None).cast("binary").alias("sign"))
-    return links_in_buckets(keyed, max_bits, pivots, 0, block)
+    keyed = fps.select("fp", key).select("k.mask", "k.bits", F.col("fp").alias("id"))
+    return links_in_buckets(keyed, None, max_bits, pivots, 0, block)
+
 
+def links_in_buckets(keyed: DataFrame, nodes: DataFrame | None, max_bits: int, pivots: int, least_equal: int, block: int) -> DataFrame:
+    """(u, v): links among nodes whose ids share a bucket (mask, bits), and that have ``least_equal`` equal bytes of sign.
 
-def links_in_buckets(keyed: DataFrame, max_bits: int, pivots: int, least_equal: int, block: int) -> DataFrame:
-    """(u, v): links among nodes (id, fp, sign) that share a bucket (mask, bits) and, where they have signs, ``least_equal`` bytes of them."""
+    ``nodes`` has fp and sign of each id; without it, ids are the fingerprints. They are met only by
+    ids that share a bucket with another.
+    """
     sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     full = keyed.join(sizes, ["mask", "bits"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    full = full.join(nodes, "id") if nodes is not None else full.withColumn("fp", F.col("id")).withColumn("sign", F.lit(None).cast("binary"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("mask", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "fp", "sign")
@@ -218,13 +223,13 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Minimum hashes of a text: BANDS buckets of BAND_ROWS each find texts that are alike, all of them together say how much.
-BANDS, BAND_ROWS = 16, 3
+#: Minimum hashes of a text: BANDS buckets of BAND_ROWS each find texts that are alike, all HASHES together say how much.
+BANDS, BAND_ROWS, HASHES = 16, 3, 160
 
 
 def sketch_batch(texts: list[bytes | None], words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, and the minimum hashes of each text under BANDS * BAND_ROWS fixed multipliers."""
-    odd = np.random.default_rng(SEED).integers(1, 1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """Fingerprints, and the minimum hashes of each text under fixed multipliers."""
+    odd = np.random.default_rng(SEED).integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     fps, least = np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(odd)), np.uint64)
     for rows, starts, h in hashed_runs(texts, words_per_shingle):
         fps[rows] = _fingerprints(starts, h)
@@ -239,16 +244,15 @@ def near_copies(numbered: DataFrame, words_per_shingle: int = 5, similarity: flo
     At a similarity of 0.8 fingerprints differ in more bits than equal blocks can find, so buckets are
     bands of minimum hashes, which texts so alike share almost surely. In a bucket the pivots discard,
     the distance verifies a share of ``similarity`` equal bits, and the minimum hashes confirm the
-    share of equal shingles, less one and a half standard deviations of their sampling error.
+    share of equal shingles, less one standard deviation of their sampling error.
     """
     schema = "row long, id long, fp long, sign binary, bands array<long>"
-    n = BANDS * BAND_ROWS
-    least_equal = int(n * similarity - 1.5 * np.sqrt(n * similarity * (1 - similarity)))
+    least_equal = int(HASHES * similarity - np.sqrt(HASHES * similarity * (1 - similarity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
-        for batch in batches:
+        for batch in slices(batches):
             fps, least = sketch_batch(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
             sign = np.ascontiguousarray((least >> np.uint64(40)).astype(np.uint8))
             bands = np.array([[digest(least[i, b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)] for i in range(len(fps))], dtype=np.uint64).reshape(len(fps), BANDS)
@@ -259,9 +263,10 @@ def near_copies(numbered: DataFrame, words_per_shingle: int = 5, similarity: flo
             )
 
     sketched = written(map_batches(numbered.select("row", "text"), run, schema), "sketches")
-    nodes = sketched.groupBy("id").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
-    keyed = nodes.select("id", "fp", "sign", F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "id", "fp", "sign")
-    found = components(links_in_buckets(keyed, int(64 * (1 - similarity)), pivots, least_equal, block))
+    nodes = sketched.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    keyed = nodes.select("id", F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "id")
+    found = components(links_in_buckets(keyed, nodes.select("id", "fp", "sign"), int(64 * (1 - similarity)), pivots, least_equal, block))
     roots = written(found.withColumnRenamed("node", "id"), "roots")
     each = sketched.select("row", "id")
     copied = each.groupBy("id").agg(F.count("*").alias("n")).join(roots, "id", "left").filter("n > 1 or root is not null")
@@ -273,7 +278,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     name = "row"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    numbered = numbered if is_scan(docs) else written(numbered, "numbered")
     groups = near_copies(numbered.select(F.col(name).alias("row"), "text"), **options)
     ranked = numbered.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
     ranked = written(ranked.select("row", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("rank")), "groups")
