@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds over written edge tables.
 
 A round is two aggregations and joins on a node. The least neighbour of a node is found by a
-pre-aggregated minimum, and rows meet it in a join that may split a hot node, so a hub that a third
+pre-aggregated minimum, which is written, and rows meet it in a join that may split a hot node, so a hub that a third
 of all nodes hang on is never gathered in one task. Nothing is collected but an edge count and a
 checksum per round. Rounds end when the edges no longer change; they are stars then.
 """
@@ -16,13 +16,13 @@ from .common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("least"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("least")), "least")
     out = down.join(least, "u").filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return out.union(least.select("u", F.col("least").alias("v"))).distinct()
 
@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if not now[0] or now == seen:
             break
         seen = now
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -179,7 +179,8 @@ def links_in_buckets(keyed: DataFrame, nodes: DataFrame | None, max_bits: int, p
     ``nodes`` has fp and sign of each id; without it, ids are the fingerprints. They are met only by
     ids that share a bucket with another.
     """
-    sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    # written before it is met: a join of two tables can split a hot bucket, one that counts itself can't
+    sizes = written(keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
     full = keyed.join(sizes, ["mask", "bits"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     full = full.join(nodes, "id") if nodes is not None else full.withColumn("fp", F.col("id")).withColumn("sign", F.lit(None).cast("binary"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
     nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes")
     roots = written(components(links(nodes.select("fp"), max_bits, pivots=pivots)).withColumnRenamed("node", "fp"), "roots")
     linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    ids = written(linked.groupBy("root").agg(F.min("least_doc").alias("component_id")), "component-ids")
     classes = linked.join(ids, "root").select("fp", "component_id")
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -283,6 +284,6 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     groups = near_copies(numbered.select(F.col(name).alias("row"), "text"), **options)
     ranked = numbered.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
     ranked = written(ranked.select("row", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("rank")), "groups")
-    kept = ranked.groupBy("root").agg(F.min("rank").alias("least"))
+    kept = written(ranked.groupBy("root").agg(F.min("rank").alias("least")), "kept-copies")
     gone = ranked.join(kept, "root").filter("rank != least").select(F.col("row").alias(name))
     return numbered.join(gone, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -139,12 +139,14 @@ def repeated_intervals(numbered: DataFrame, length: int) -> DataFrame:
     """(row, low, high): suffixes low..high of the row start strings that also start elsewhere."""
     spark = numbered.sparkSession
     every = written(find_runs(numbered, length), "runs")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    # counts are written before they are met: a join of two tables can split a hot bucket, one that counts itself can't
+    shared = written(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared-buckets")
     runs = written(every.join(shared, "bucket"), "shared-runs")
-    release(spark, every)
+    release(spark, every, shared)
     spans = written(runs.groupBy("bucket", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("one")), "spans")
     release(spark)
     buckets = spans.groupBy("bucket").agg(F.count("*").alias("spans"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).filter("spans > 1 and alone > 0")
+    buckets = written(buckets, "open-buckets")
     whole = runs.join(spans.filter("n > 1").select("bucket", "span"), ["bucket", "span"]).select("row", "low", "high")
     # a run alone asks; one run of every other span in its bucket answers; a large bucket is dealt by identifiers
     share = F.ceil(F.col("spans") / SPANS_PER_SHARE).cast("int").alias("shares")
