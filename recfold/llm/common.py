@@ -19,6 +19,8 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Of a written table: what a writer holds in memory before it writes.
 ROW_GROUP_BYTES = 32 << 20
+#: Files whose numbers are broadcast.
+MOST_FILES = 50_000
 #: Bytes of text that a worker holds results of at a time.
 SLICE_BYTES = 3 << 20
 
@@ -56,11 +58,25 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` is columns of files as they are: then rows come in the same order and parts each time."""
+    """Whether ``df`` is columns of Parquet files as they are."""
     nodes = [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
-    files = ("parquet", "orc", "json", "csv", "text")
-    plain = (n.startswith("Project") or n.startswith("Relation") and n.endswith(files) for n in nodes if n)
-    return all(plain) and not any("rand" in n or "uuid" in n for n in nodes)
+    return all(n.startswith("Project") or n.startswith("Relation") and n.endswith("parquet") for n in nodes if n) and not any("rand" in n or "uuid" in n for n in nodes)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row that means the same row in every later read.
+
+    Rows of Parquet files are numbered by file and place in the file, which no other split of the
+    files changes. Anything else, or a table of very many files, is written first.
+    """
+    if is_scan(df):
+        files = df.select("_metadata.file_path").distinct().limit(MOST_FILES + 1).collect()
+        if 0 < len(files) <= MOST_FILES:
+            numbers = df.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sorted(files))], "numbered_file string, file_number long")
+            placed = df.select("*", F.col("_metadata.file_path").alias("numbered_file"), F.col("_metadata.row_index").alias("numbered_place"))
+            number = F.shiftleft("file_number", 44) + F.col("numbered_place")
+            return placed.join(F.broadcast(numbers), "numbered_file").select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_scan, map_batches, only, slices, written
+from .common import map_batches, numbered, only, slices, written
 from .graph import components
 
 SEED = 42
@@ -239,8 +239,8 @@ def sketch_batch(texts: list[bytes | None], words_per_shingle: int) -> tuple[np.
     return fps, least
 
 
-def near_copies(numbered: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = 4096) -> DataFrame:
-    """(row, root) of rows of ``numbered`` (row, text) that have a near copy; equal roots are one group.
+def near_copies(rows: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = 4096) -> DataFrame:
+    """(row, root) of ``rows`` (row, text) that have a near copy; equal roots are one group.
 
     At a similarity of 0.8 fingerprints differ in more bits than equal blocks can find, so buckets are
     bands of minimum hashes, which texts so alike share almost surely. In a bucket the pivots discard,
@@ -263,7 +263,7 @@ def near_copies(numbered: DataFrame, words_per_shingle: int = 5, similarity: flo
                 names=["row", "id", "fp", "sign", "bands"],
             )
 
-    sketched = written(map_batches(numbered.select("row", "text"), run, schema), "sketches")
+    sketched = written(map_batches(rows.select("row", "text"), run, schema), "sketches")
     nodes = sketched.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     keyed = nodes.select("id", F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "id")
@@ -279,11 +279,10 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     name = "row"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    numbered = numbered if is_scan(docs) else written(numbered, "numbered")
-    groups = near_copies(numbered.select(F.col(name).alias("row"), "text"), **options)
-    ranked = numbered.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
+    rows = numbered(docs, name)
+    groups = near_copies(rows.select(F.col(name).alias("row"), "text"), **options)
+    ranked = rows.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
     ranked = written(ranked.select("row", "root", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("rank")), "groups")
     kept = written(ranked.groupBy("root").agg(F.min("rank").alias("least")), "kept-copies")
     gone = ranked.join(kept, "root").filter("rank != least").select(F.col("row").alias(name))
-    return numbered.join(gone, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(gone, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

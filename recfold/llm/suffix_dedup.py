@@ -19,8 +19,8 @@ Every step is exact but for hash identity: two strings are held equal on 128 bit
 their own. Counts are pre-aggregated and met by joins that may split a hot bucket; no bucket, however
 common its passage, is gathered in one task, and no pairs are made.
 
-Nulls: a null text is empty. Rows with equal or null doc_id are told apart by a row number given on
-reading, so repeated rows are copies of each other. Further columns are ignored by ``repeats``.
+Nulls: a null text is empty. Rows with equal or null doc_id are told apart by a number given to
+each row, so repeated rows are copies of each other. Further columns are ignored by ``repeats``.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_scan, map_batches, only, release, slices, written
+from .common import map_batches, numbered, only, release, slices, written
 
 SHARE = 5
 #: Runs of a bucket, at about a kilobyte each, that one task holds.
@@ -119,7 +119,7 @@ def _rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", dtype=np.uint8) for x in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
 
 
-def find_runs(numbered: DataFrame, length: int) -> DataFrame:
+def find_runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = batch.column("row").to_numpy()
@@ -132,13 +132,13 @@ def find_runs(numbered: DataFrame, length: int) -> DataFrame:
                 [pa.array(bucket.view(np.int64)), pa.array(span.view(np.int64)), pa.array(row), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["bucket", "span", "row", "low", "high"]
             )
 
-    return map_batches(numbered, run, "bucket long, span long, row long, low int, high int")
+    return map_batches(rows, run, "bucket long, span long, row long, low int, high int")
 
 
-def repeated_intervals(numbered: DataFrame, length: int) -> DataFrame:
+def repeated_intervals(rows: DataFrame, length: int) -> DataFrame:
     """(row, low, high): suffixes low..high of the row start strings that also start elsewhere."""
-    spark = numbered.sparkSession
-    every = written(find_runs(numbered, length), "runs")
+    spark = rows.sparkSession
+    every = written(find_runs(rows, length), "runs")
     # counts are written before they are met: a join of two tables can split a hot bucket, one that counts itself can't
     shared = written(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared-buckets")
     runs = written(every.join(shared, "bucket"), "shared-runs")
@@ -172,7 +172,7 @@ def repeated_intervals(numbered: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "share", "row", "asks", "low", "places", "ids"])
 
-    suffixes = map_batches(numbered.join(wanted, "row").select("row", "text", "runs"), refine, fields)
+    suffixes = map_batches(rows.join(wanted, "row").select("row", "text", "runs"), refine, fields)
     sorted_buckets = suffixes.repartition("bucket", "share").sortWithinPartitions("bucket", "share")
     single = written(map_batches(sorted_buckets, _equal_suffixes, "row long, low int, high int"), "equal-suffixes")
     release(spark)
@@ -224,16 +224,10 @@ def _merged(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray,
     return low[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """The rows with a number each that means the same row wherever it is read: a table is written unless ``docs`` is one."""
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return numbered if is_scan(docs) else written(numbered, "numbered")
-
-
-def spans_joined(numbered: DataFrame, length: int) -> DataFrame:
-    """All rows of ``numbered`` with ``found``: the intervals of repeated suffixes of each, null for none."""
-    found = repeated_intervals(numbered, length).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("found"))  # at most the suffixes of one text
-    return numbered.join(found, "row", "left")
+def spans_joined(rows: DataFrame, length: int) -> DataFrame:
+    """All of ``rows`` with ``found``: the intervals of repeated suffixes of each, null for none."""
+    found = repeated_intervals(rows, length).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("found"))  # at most the suffixes of one text
+    return rows.join(found, "row", "left")
 
 
 def cut_batches(length: int, make):
@@ -267,7 +261,7 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         kept = pa.array([kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), lists, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    rows = spans_joined(numbered_rows(only(docs, "doc_id", "text")), length).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
+    rows = spans_joined(numbered(only(docs, "doc_id", "text"), "row"), length).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found")
     return map_batches(rows, cut_batches(length, make), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
@@ -280,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the repeated strings cut out of text, its other columns as they are. A character cut in two goes; texts of which nothing but white space is left go, too."""
     clash = {"row", "found"} & {c.lower() for c in docs.columns}
     renamed = docs.select(*(F.col(f"`{c}`").alias(f"kept_{c}" if c.lower() in clash else c) for c in docs.columns))
-    joined = spans_joined(numbered_rows(renamed), length).drop("row")
+    joined = spans_joined(numbered(renamed, "row"), length).drop("row")
     columns = list(docs.columns)
     names = [f"kept_{c}" if c.lower() in clash else c for c in columns]
 

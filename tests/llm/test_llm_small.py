@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from recfold.llm import chat, decontaminate, graph, html_extract, licenses, orc_output, packing, quality, simhash, suffix_dedup, token_counts, tokens
-from recfold.llm.common import fresh_path, is_scan, table
+from recfold.llm.common import fresh_path, is_scan, numbered, table
 from recfold.llm.queries import tokenizer_path
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -384,4 +384,6 @@ def test_html_marginals_equal_enumeration():
 def test_scans_are_told_apart(spark):
     df = table(spark, "/root/testdata/sf0.001", "documents")
     assert is_scan(df) and is_scan(df.select("doc_id", "text"))
+    both = [{(r.doc_id, r.row) for r in numbered(df, "row").repartition(k).collect()} for k in (1, 3)]
+    assert both[0] == both[1] and len({r for _, r in both[0]}) == df.count()
     assert not is_scan(df.repartition(2)) and not is_scan(docs(spark, [(1, "a")]))
