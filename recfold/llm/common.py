@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -19,6 +21,7 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Of a written table: what a writer holds in memory before it writes.
 ROW_GROUP_BYTES = 32 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Files whose numbers are broadcast.
 MOST_FILES = 50_000
 #: Bytes of text that a worker holds results of at a time.
@@ -93,7 +96,23 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     env = df.sparkSession.sparkContext.environment
     if PACKAGE_ROOT not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-    return df.mapInArrow(fn, schema)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # the default: as many long texts as that fill a worker's memory
+        conf.set(BATCH_ROWS, "1000")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def trim() -> None:
+    """Give freed memory back: a worker lives on after its task, and another operator may follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
