@@ -108,8 +108,18 @@ def _close(a: np.ndarray, b: np.ndarray, table_a: np.ndarray, table_b: np.ndarra
     return left[np.bitwise_count(a[left] ^ b[left if len(b) == len(a) else slice(None)]) <= max_bits]
 
 
-def links_of(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray | None, group: np.ndarray, max_bits: int, pivots: int, least_equal: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group``: all in small groups, a spanning forest in large ones."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, sorted, is ``similarity`` or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def links_of(
+    ids: np.ndarray, fps: np.ndarray, signs: np.ndarray | None, group: np.ndarray, max_bits: int, pivots: int, least_equal: int, small: int = 32, sets: list[np.ndarray] | None = None, similarity: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``group``: all in small groups, a spanning forest in large ones. With ``sets``, those decide."""
     if not len(fps):
         return ids, ids
     table = pivot_table(fps, pivots)
@@ -123,6 +133,9 @@ def links_of(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray | None, group:
         if signs is not None and len(got):
             o = other[got] if len(other) == len(rows) else other
             got = got[np.count_nonzero(signs[rows[got]] == signs[o], axis=1) >= least_equal]
+        if sets is not None and len(got):
+            o = other[got] if len(other) == len(rows) else np.repeat(other, len(got))
+            got = got[[alike(sets[x], sets[y], similarity) for x, y in zip(rows[got], o, strict=True)]]
         return got
 
     rows = np.flatnonzero(size_of <= small)
@@ -173,19 +186,20 @@ def links(fps: DataFrame, max_bits: int = 4, shared: int | None = None, pivots:
     return links_in_buckets(keyed, None, max_bits, pivots, 0, block)
 
 
-def links_in_buckets(keyed: DataFrame, nodes: DataFrame | None, max_bits: int, pivots: int, least_equal: int, block: int) -> DataFrame:
+def links_in_buckets(keyed: DataFrame, nodes: DataFrame | None, max_bits: int, pivots: int, least_equal: int, block: int, similarity: float = 0.0) -> DataFrame:
     """(u, v): links among nodes whose ids share a bucket (mask, bits), and that have ``least_equal`` equal bytes of sign.
 
     ``nodes`` has fp and sign of each id; without it, ids are the fingerprints. They are met only by
-    ids that share a bucket with another.
+    ids that share a bucket with another. If nodes have shingles too, links have ``similarity`` of these.
     """
     # written before it is met: a join of two tables can split a hot bucket, one that counts itself can't
     sizes = written(keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
     full = keyed.join(sizes, ["mask", "bits"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     full = full.join(nodes, "id") if nodes is not None else full.withColumn("fp", F.col("id")).withColumn("sign", F.lit(None).cast("binary"))
+    more = [c for c in full.columns if c == "shingles"]
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("mask", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "fp", "sign")
+    dealt = dealt.select("mask", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "fp", "sign", *more)
     dealt = dealt.repartition("mask", "bits", "i", "j").sortWithinPartitions("mask", "bits", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +208,8 @@ def links_in_buckets(keyed: DataFrame, nodes: DataFrame | None, max_bits: int, p
         def found(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
             sign = table.column("sign")
             signs = None if sign.null_count else np.frombuffer(b"".join(sign.to_pylist()), np.uint8).reshape(len(table), -1)
-            a, b = links_of(table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64), signs, group, max_bits, pivots, least_equal)
+            sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()] if more else None
+            a, b = links_of(table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64), signs, group, max_bits, pivots, least_equal, sets=sets, similarity=similarity)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
         for batch in batches:
@@ -226,48 +241,89 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_bits: int =
 
 #: Minimum hashes of a text: BANDS buckets of BAND_ROWS each find texts that are alike, all HASHES together say how much.
 BANDS, BAND_ROWS, HASHES = 16, 3, 160
+#: Standard deviations that sketches of texts just alike enough may lie beyond what is expected of them.
+DEVIATIONS = 4
+#: Texts of a group whose shingles a task compares with those of as many others.
+COMPARED = 1024
 
 
-def sketch_batch(texts: list[bytes | None], words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, and the minimum hashes of each text under fixed multipliers."""
+def distinct_shingles(texts: list[bytes | None], words_per_shingle: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    return [np.unique(np.array(shingle_hashes(t, words_per_shingle), dtype="<u8")) for t in texts]
+
+
+def sketch_batch(texts: list[bytes | None], words_per_shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct shingles of each text: their digest, fingerprint, and minimum hashes under fixed multipliers."""
+    from xxhash import xxh64_intdigest as digest
+
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    fps, least = np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(odd)), np.uint64)
-    for rows, starts, h in hashed_runs(texts, words_per_shingle):
-        fps[rows] = _fingerprints(starts, h)
-        for k, m in enumerate(odd):
-            least[rows, k] = np.minimum.reduceat(h * m, starts)
-    return fps, least
+    ids, fps, least = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(odd)), np.uint64)
+    rows, sets, many = [], [], 0
+    for i, text in enumerate(texts):
+        found = distinct_shingles([text], words_per_shingle)[0]
+        ids[i] = digest(found.tobytes(), SEED)
+        if len(found):
+            rows.append(i), sets.append(found)
+            many += len(found)
+        if rows and (many >= UNPACK or i == len(texts) - 1):
+            h, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+            fps[rows] = _fingerprints(starts, h)
+            for k, m in enumerate(odd):
+                least[rows, k] = np.minimum.reduceat(h * m, starts)
+            rows, sets, many = [], [], 0
+    return ids, fps, least
+
+
+def sketch_bounds(similarity: float) -> tuple[int, int]:
+    """The most different bits and the fewest equal minimum hashes of texts of that similarity, but for DEVIATIONS.
+
+    Sets of equal size and Jaccard similarity s have a cosine of 2s / (1 + s); a bit of their
+    fingerprints differs with the share that their angle has of a half turn.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * share + DEVIATIONS * np.sqrt(64 * share * (1 - share))
+    equal = HASHES * similarity - DEVIATIONS * np.sqrt(HASHES * similarity * (1 - similarity))
+    return int(np.ceil(bits)), int(equal)
 
 
 def near_copies(rows: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = 4096) -> DataFrame:
     """(row, root) of ``rows`` (row, text) that have a near copy; equal roots are one group.
 
     At a similarity of 0.8 fingerprints differ in more bits than equal blocks can find, so buckets are
-    bands of minimum hashes, which texts so alike share almost surely. In a bucket the pivots discard,
-    the distance verifies a share of ``similarity`` equal bits, and the minimum hashes confirm the
-    share of equal shingles, less one standard deviation of their sampling error.
+    bands of minimum hashes, which texts so alike share almost surely. In a bucket the pivots, the
+    distance and the minimum hashes discard pairs that can hardly be so alike. What they leave falls
+    into rough groups, within which the share of equal shingles itself decides. Texts with the same
+    shingles are one node throughout.
     """
     schema = "row long, id long, fp long, sign binary, bands array<long>"
-    least_equal = int(HASHES * similarity - np.sqrt(HASHES * similarity * (1 - similarity)))
+    max_bits, least_equal = sketch_bounds(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
         for batch in slices(batches):
-            fps, least = sketch_batch(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
+            ids, fps, least = sketch_batch(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
             sign = np.ascontiguousarray((least >> np.uint64(40)).astype(np.uint8))
             bands = np.array([[digest(least[i, b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)] for i in range(len(fps))], dtype=np.uint64).reshape(len(fps), BANDS)
-            ids = np.array([digest(least[i].tobytes(), int(fps[i]) & 0xFFFFFFFF) for i in range(len(fps))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(ids.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sign], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))],
                 names=["row", "id", "fp", "sign", "bands"],
             )
 
+    def with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = distinct_shingles(pc.cast(batch.column("text"), pa.binary()).to_pylist(), words_per_shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), batch.column("sign"), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "fp", "sign", "shingles"])
+
     sketched = written(map_batches(rows.select("row", "text"), run, schema), "sketches")
-    nodes = sketched.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("bands").alias("bands"))
+    nodes = sketched.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sign").alias("sign"), F.min("bands").alias("bands"), F.min("row").alias("row"))
     nodes = written(nodes, "nodes")
     keyed = nodes.select("id", F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "id")
-    found = components(links_in_buckets(keyed, nodes.select("id", "fp", "sign"), int(64 * (1 - similarity)), pivots, least_equal, block))
+    rough = written(components(links_in_buckets(keyed, nodes.select("id", "fp", "sign"), max_bits, pivots, least_equal, block)).withColumnRenamed("node", "id"), "rough-groups")
+    grouped = written(nodes.select("id", "fp", "sign", "row").join(rough.select("id"), "id"), "grouped")  # few: texts need not move where they fit a broadcast
+    compared = map_batches(rows.select("row", "text").join(grouped, "row").select("id", "fp", "sign", "text"), with_shingles, "id long, fp long, sign binary, shingles binary")
+    keyed = rough.select(F.lit(0).alias("mask"), F.col("root").alias("bits"), "id")
+    found = components(links_in_buckets(keyed, compared, max_bits, pivots, least_equal, min(block, COMPARED), similarity))
     roots = written(found.withColumnRenamed("node", "id"), "roots")
     each = sketched.select("row", "id")
     copied = each.groupBy("id").agg(F.count("*").alias("n")).join(roots, "id", "left").filter("n > 1 or root is not null")
