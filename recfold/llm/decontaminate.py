@@ -2,8 +2,8 @@
 
 A text becomes lower-case words of letters and digits, each a 64-bit hash. A mask is a fixed pattern
 over ``span`` neighbouring words that ignores some of them; the hash of the words it keeps is a spaced
-seed, which a substituted word at an ignored place does not change. Masks ignore different places, so
-an overlap with a few substitutions still has seeds. Seeds of every place of every text are joined to
+seed, which a substituted word at an ignored place does not change. The masks follow from what is
+accepted below: found by enumeration, every accepted overlap has a seed of one of them. Seeds of every place of every text are joined to
 those of the benchmark. A hit fixes how text and item lie against each other; there, the item's words
 are compared with the text's one by one, and an overlap counts when words agree in a stretch without
 more than ``max_gap`` substitutions in a row that has at least ``least_words`` agreeing words, or as
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-#: Places kept (1) and ignored (0) among neighbouring words.
-MASKS = ("1101101011", "1011110101")
+#: Places kept (1) and ignored (0) among neighbouring words. No stretch of 13 agreeing words or more with a share of 0.7
+#: and gaps of 3 at most avoids both.
+MASKS = ("10111", "11001001")
 BROADCAST_SEEDS = 100_000
 
 
@@ -51,10 +52,10 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """``rows`` (with words) once for each place and mask: at, seed."""
-    span = len(masks[0])
-    places = rows.withColumn("at", F.explode(F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))))
-    found = F.explode(F.array(*(_seed(F.col("words"), F.col("at"), m, i) for i, m in enumerate(masks))))
-    return places.withColumn("seed", found)
+    least = min(map(len, masks))
+    places = rows.withColumn("at", F.explode(F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))))
+    found = F.explode(F.array(*(F.when(F.col("at") + len(m) <= F.size("words"), _seed(F.col("words"), F.col("at"), m, i)) for i, m in enumerate(masks))))
+    return places.withColumn("seed", found).filter("seed is not null")
 
 
 def short_seeds(rows: DataFrame, lengths: list[int]) -> list[DataFrame]:
@@ -90,7 +91,7 @@ def contaminations(
     docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, max_gap: int = 3, least_words: int = 13, least_share: float = 0.7, least_short: int = 8, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
     """(doc_id, item_id, n_words, span_words): documents that hold an item, by the best overlap of each pair."""
-    span = len(masks[0])
+    span = max(map(len, masks))
     items = _once(only(benchmark, "item_id", "text").filter("item_id is not null"), "words", word_hashes(F.col("text"))).select("item_id", "words", F.size("words").alias("n"))
     lengths = sorted(r[0] for r in items.filter((F.col("n") < span) & (F.col("n") >= least_short)).select("n").distinct().collect())  # below span values
     held = seeds(items, masks)
