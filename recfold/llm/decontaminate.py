@@ -1,21 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations alone.
 
-A text becomes lower-case words of letters and digits, each a 64-bit hash. A mask is a fixed pattern
+A text becomes lower-case words of letters and digits, each a 64-bit hash; in scripts written without
+spaces, each character is a word. A mask is a fixed pattern
 over ``span`` neighbouring words that ignores some of them; the hash of the words it keeps is a spaced
 seed, which a substituted word at an ignored place does not change. The masks follow from what is
 accepted below: found by enumeration, every accepted overlap has a seed of one of them. Seeds of every place of every text are joined to
 those of the benchmark. A hit fixes how text and item lie against each other; there, the item's words
 are compared with the text's one by one, and an overlap counts when words agree in a stretch without
-more than ``max_gap`` substitutions in a row that has at least ``least_words`` agreeing words, or as
-many as the item has if it is shorter, and at least ``least_share`` of its words agreeing.
+more than ``max_gap`` substitutions in a row that has at least ``least_words`` agreeing words, or
+``least_share`` of the item's if that is fewer, and at least ``least_share`` of its words agreeing.
 
 The benchmark is the side that is sent to every task, after its seeds have been counted: it is dealt
 into as many blocks of items as keep each at about ``broadcast_seeds``, and the texts are read once
 for each block. Texts never move: seeds are made, joined and verified where a text is, and only hits
 leave.
 
-Items with fewer words than ``span`` have no spaced seeds; they are held by their whole word sequence
-when they have at least ``least_short`` words, which is hashed as one seed of that length.
+Items of which fewer than ``least_words`` must agree have masks of their own. Those with fewer than
+``least_masked`` words are held by their whole word sequence, which is hashed as one seed of that
+length; with fewer than ``least_short`` words they are not looked for.
 
 Nulls: a null text or item has no words; a null doc_id is kept, and rows with equal doc_id are one
 document. Repeated rows change nothing. Empty tables give no rows. Further columns are ignored.
@@ -31,18 +33,23 @@ from .common import only, written
 #: Places kept (1) and ignored (0) among neighbouring words. No stretch of 13 agreeing words or more with a share of 0.7
 #: and gaps of 3 at most avoids both.
 MASKS = ("10111", "11001001")
+#: The same for stretches of 6 agreeing words or more.
+SHORT_MASKS = ("10111", "1100101", "1111", "11011", "11101")
+#: Characters that are words of their own.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 BROADCAST_SEEDS = 100_000
 
 
 def word_hashes(text: Column) -> Column:
     """The hashes of a text's words, in order."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 ")
+    words = F.split(F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), " ")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(words: Column, at: Column, mask: str, nth: int) -> Column:
+def _seed(words: Column, at: Column, mask: str) -> Column:
     kept = [i for i, x in enumerate(mask) if x == "1"]
-    return F.xxhash64(F.lit(nth), *(F.get(words, at + i) for i in kept))
+    return F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i in kept))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -54,7 +61,7 @@ def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """``rows`` (with words) once for each place and mask: at, seed."""
     least = min(map(len, masks))
     places = rows.withColumn("at", F.explode(F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))))
-    found = F.explode(F.array(*(F.when(F.col("at") + len(m) <= F.size("words"), _seed(F.col("words"), F.col("at"), m, i)) for i, m in enumerate(masks))))
+    found = F.explode(F.array(*(F.when(F.col("at") + len(m) <= F.size("words"), _seed(F.col("words"), F.col("at"), m)) for m in masks)))
     return places.withColumn("seed", found).filter("seed is not null")
 
 
@@ -63,7 +70,7 @@ def short_seeds(rows: DataFrame, lengths: list[int]) -> list[DataFrame]:
     out = []
     for n in lengths:
         places = rows.withColumn("at", F.explode(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))))
-        out.append(places.withColumn("seed", _seed(F.col("words"), F.col("at"), "1" * n, -n)))
+        out.append(places.withColumn("seed", _seed(F.col("words"), F.col("at"), "1" * n)))
     return out
 
 
@@ -88,22 +95,27 @@ def agreement(ours: Column, theirs: Column, max_gap: int) -> Column:
 
 
 def contaminations(
-    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, max_gap: int = 3, least_words: int = 13, least_share: float = 0.7, least_short: int = 8, broadcast_seeds: int = BROADCAST_SEEDS
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, max_gap: int = 3, least_words: int = 13, least_share: float = 0.7, least_short: int = 5, broadcast_seeds: int = BROADCAST_SEEDS,
+    short_masks: tuple[str, ...] = SHORT_MASKS, least_masked: int = 8,
+) -> DataFrame:
     """(doc_id, item_id, n_words, span_words): documents that hold an item, by the best overlap of each pair."""
-    span = max(map(len, masks))
+    n = F.col("n")
+    needed = F.when(n < least_masked, n).otherwise(F.least(F.lit(least_words), F.ceil(least_share * n - 1e-9)))
     items = _once(only(benchmark, "item_id", "text").filter("item_id is not null"), "words", word_hashes(F.col("text"))).select("item_id", "words", F.size("words").alias("n"))
-    lengths = sorted(r[0] for r in items.filter((F.col("n") < span) & (F.col("n") >= least_short)).select("n").distinct().collect())  # below span values
-    held = seeds(items, masks)
-    for short in short_seeds(items.filter(F.col("n") < span), lengths):
+    below = sorted(r[0] for r in items.filter((needed < least_words) & (n >= least_short)).select("n").distinct().collect())  # few values
+    lengths = [x for x in below if x < least_masked]
+    held = seeds(items.filter(needed >= least_words), masks).union(seeds(items.filter((needed < least_words) & (n >= least_masked)), short_masks))
+    for short in short_seeds(items.filter(n < least_masked), lengths):
         held = held.union(short)
+    if len(lengths) < len(below):
+        masks = tuple(dict.fromkeys((*masks, *short_masks)))
     held = written(held.select("seed", F.col("at").alias("item_at"), "item_id", "words", "n").distinct(), "benchmark-seeds")
     blocks = max(1, -(-held.count() // broadcast_seeds))
     found = [_overlaps(docs, held.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i), masks, lengths, max_gap) for i in range(blocks)]
     overlaps = found[0]
     for more in found[1:]:
         overlaps = overlaps.union(more)
-    good = overlaps.filter((F.col("a.most") >= F.least(F.lit(least_words), F.col("n"))) & (F.col("a.most") >= least_share * F.col("a.of")))
+    good = overlaps.filter((F.col("a.most") >= needed) & (F.col("a.most") >= least_share * F.col("a.of")))
     best = good.groupBy("doc_id", "item_id").agg(F.max("a").alias("a"))
     return best.select("doc_id", "item_id", F.col("a.most").cast("long").alias("n_words"), F.col("a.of").cast("long").alias("span_words"))
 

@@ -61,3 +61,27 @@ def test_no_accepted_overlap_avoids_the_masks():
         most = longer
         best = max((agree for last, agree in most.items() if last & 1), default=0)
         assert best < 13 or best < 0.7 * length
+
+
+def test_short_items_are_found(spark):
+    rng, cases = random.Random(19), []
+    while len(cases) < 600:
+        n = rng.randint(8, 17)
+        least = -(-7 * n // 10)
+        gone = set(rng.sample(range(n), rng.randint(0, n - least)))
+        keeps = "".join("0" if i in gone else "1" for i in range(n))
+        of = keeps.strip("0")
+        if "0000" not in of and 10 * of.count("1") >= 7 * len(of):
+            cases.append(substituted(keeps, rng))
+    cases += [substituted("1" * n, rng) for n in (5, 6, 7) for _ in range(20)]
+    chinese = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    for n in (6, 12, 30):
+        item = chinese(n)
+        cases.append((item[:5] + "，" + item[5:] + "？", chinese(20) + item + "。" + chinese(20)))
+    found = contaminated(spark, cases)
+    assert [c for i, c in enumerate(cases) if i not in found] == []
+
+
+def test_too_little_of_a_short_item_is_not_found(spark):
+    rng = random.Random(20)
+    assert contaminated(spark, [substituted(p, rng) for p in ("11011", "1111110", "11100111000000", "101101101101")]) == set()
