@@ -58,9 +58,20 @@ def text(value: Any) -> str:
 
 
 def binary(value: Any) -> bytes:
+    """Bytes, or a list of numbers that are bytes."""
+    if isinstance(value, (bytes, bytearray, memoryview)):
+        return bytes(value)
+    if not isinstance(value, (list, tuple)) or any(isinstance(x, bool) or not isinstance(x, int) or not 0 <= x < 256 for x in value):
+        raise EncodeError(f"Binary can't hold {value!r}")
     return bytes(value)
 
 
+def date(value: Any) -> dt.date:
+    if not isinstance(value, dt.date) or isinstance(value, dt.datetime):
+        raise EncodeError(f"Date can't hold {value!r}")
+    return value
+
+
 def rescaled(precision: int, scale: int, codec: Callable[[Any, int], int | None]) -> Callable[[Any], decimal.Decimal]:
     """Half-even rescaling by a codec; the precision is checked here."""
 

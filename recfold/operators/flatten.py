@@ -22,11 +22,12 @@ from ..types import Logical
 
 @dataclass(frozen=True)
 class FlatColumn:
-    """A flat column: its dotted name, type, and the fields to its leaf (None: the elements of a list)."""
+    """A flat column: its dotted name, type, the fields to its leaf (None: the elements of a list), and what its values must be besides."""
 
     name: str
     logical: Logical
     path: tuple[str | None, ...]
+    rule: str | None = None
 
     @property
     def leaf(self) -> Logical:
@@ -52,7 +53,7 @@ def flat_columns(root: Any) -> list[FlatColumn]:
             logical = t.logical
             for _ in range(layers):
                 logical = Logical("List", (logical,))
-            out.append(FlatColumn(name, logical, path))
+            out.append(FlatColumn(name, logical, path, t.rule))
 
     walk(root, "", (), 0)
     seen: set[str] = set()
@@ -85,9 +86,9 @@ def _expression(column: FlatColumn, schema: T.StructType, carried: bool) -> Colu
         if leaf.kind == "String" and not isinstance(source, T.StringType):
             c = under(c, layers, lambda x: display_text(x, source))
         else:
-            probe = encoded(F.lit(None), leaf, source)  # a leaf that is carried as it is needs no lambda
+            probe = encoded(F.lit(None), leaf, source, column.rule)  # a leaf that is carried as it is needs no lambda
             if str(probe) != str(F.lit(None)):
-                c = under(c, layers, lambda x: encoded(x, leaf, source))
+                c = under(c, layers, lambda x: encoded(x, leaf, source, column.rule))
     return c.alias(column.name, metadata={"logical": str(column.logical)})
 
 

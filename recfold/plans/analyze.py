@@ -11,6 +11,7 @@ import types as _types
 import typing
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 from .. import attrs
@@ -26,8 +27,11 @@ _TIMES = {"datetime_tz": "Datetime", "datetime": "Datetime", "std_duration": "Du
 
 @dataclass(frozen=True)
 class LeafType:
+    """A leaf, how a value becomes what carries it, and what it must be besides: ``nonzero`` or ``unsigned``."""
+
     logical: Logical
     encode: Callable[[Any], Any]
+    rule: str | None = None
 
 
 @dataclass(frozen=True)
@@ -194,20 +198,20 @@ class Analyzer:
         if base == "timedelta":
             raise RecordError("V3", f"field {name}: a bare timedelta is ambiguous; use StdDuration or ChronoDuration")
         if base in INTEGERS:
-            return LeafType(Logical(INTEGERS[base][0]), encode.integer(leaf or Leaf(base)))
+            return LeafType(Logical(INTEGERS[base][0]), encode.integer(leaf or Leaf(base)), "nonzero" if leaf and leaf.nonzero else None)
         if base in _TIMES:
             return self.timed(base, "ms" if _TIMES[base] == "Datetime" else "ns")
         if base == "decimal":
             codec = self.runtime.codec(_decimal.Decimal)
             return LeafType(Decimal(), encode.rescaled(38, 10, codec))
-        made = {"bool": (BOOLEAN, encode.boolean), "str": (STRING, encode.text), "f32": (Logical("Float32"), encode.real), "f64": (Logical("Float64"), encode.real), "date": (DATE, lambda v: v), "time": (TIME, encode.time_of_day)}
+        made = {"bool": (BOOLEAN, encode.boolean), "str": (STRING, encode.text), "f32": (Logical("Float32"), encode.real), "f64": (Logical("Float64"), encode.real), "date": (DATE, encode.date), "time": (TIME, encode.time_of_day)}
         return LeafType(*made[base])
 
     @staticmethod
     def timed(base: str, unit: str) -> LeafType:
         if _TIMES[base] == "Datetime":
             return LeafType(Datetime(unit), encode.datetime_in(unit))
-        return LeafType(Duration(unit), encode.duration_in(unit, base == "chrono_duration"))
+        return LeafType(Duration(unit), encode.duration_in(unit, base == "chrono_duration"), None if base == "chrono_duration" else "unsigned")
 
     @staticmethod
     def base(bare: Any, leaf: Leaf | None) -> str | None:
@@ -236,23 +240,34 @@ class Analyzer:
         return Analyzer(origin, self.runtime, parameters, self.above).struct()
 
 
-def encoder(t: Any) -> Callable[[Any], Any]:
-    """Values of a type to nested tuples and lists of what carries them."""
+def encoder(t: Any) -> Callable[[list[Any]], list[Any]]:
+    """Many values of a type to nested tuples and lists of what carries them. Hand-written records see all values at once."""
     if isinstance(t, LeafType):
-        return t.encode
+        return lambda values: [t.encode(v) for v in values]
     if isinstance(t, OptionType):
         inner = encoder(t.of)
-        return lambda v: None if v is None else inner(v)
+
+        def option(values: list[Any]) -> list[Any]:
+            some = iter(inner([v for v in values if v is not None]))
+            return [None if v is None else next(some) for v in values]
+
+        return option
     if isinstance(t, ListType):
         item = encoder(t.item)
-        return lambda v: [item(x) for x in v]
-    parts = [encoder(x) for _, x in t.fields]
+
+        def items(values: list[Any]) -> list[Any]:
+            flat = iter(item([x for v in values for x in v]))
+            return [list(islice(flat, len(v))) for v in values]
+
+        return items
     if t.manual is not None:
-        return lambda v: tuple(t.manual.rows([v])[0])
+        return lambda values: [tuple(r) for r in t.manual.rows(values)]
+    parts = [encoder(x) for _, x in t.fields]
 
-    def struct(v: Any) -> tuple:
-        if v is None:
+    def struct(values: list[Any]) -> list[tuple]:
+        if any(v is None for v in values):
             raise EncodeError(f"a {t.name} can't be None")
-        return tuple(part(take(v)) for part, take in zip(parts, t.take, strict=True))
+        columns = [part([take(v) for v in values]) for part, take in zip(parts, t.take, strict=True)]
+        return list(zip(*columns, strict=True)) if columns else [()] * len(values)
 
     return struct

@@ -14,10 +14,12 @@ from typing import Annotated, Generic, Optional, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..attrs import as_binary, as_str, as_string, decimal, skip, time_unit
 from ..sources.tables import table
-from ..types import F32, I32, I64, Unit
+from ..functions.columns import interval_micros, timestamp_micros
+from ..types import F32, I32, I64, U8, U16, U64, Arc, Box, ChronoDuration, DateTimeTz, NonZero, Rc, StdDuration, Unit
 from .record import plan_of, record
 
 T = TypeVar("T")
@@ -195,6 +197,82 @@ class StringNation:
     nation: Annotated[NationLabel, as_string]
 
 
+@record
+@dataclass
+class EventZoned:
+    event_id: I64
+    ts: DateTimeTz
+    ts_us: Annotated[DateTimeTz, time_unit("us")]
+    ts_ns: Annotated[DateTimeTz, time_unit("ns")]
+
+
+@record
+@dataclass
+class EventSpan:
+    event_id: I64
+    since: ChronoDuration
+    since_std: StdDuration
+
+
+@record
+@dataclass
+class EventSpanMs:
+    event_id: I64
+    since: Annotated[ChronoDuration, time_unit("ms")]
+    until: Annotated[ChronoDuration, time_unit("us")]
+
+
+@record
+@dataclass
+class EventTime:
+    event_id: I64
+    at: dt.time
+    maybe: Optional[dt.time]
+
+
+@record
+@dataclass
+class EventText:
+    event_id: I64
+    ts: Annotated[dt.datetime, as_string]
+    zoned: Annotated[DateTimeTz, as_string]
+    day: Annotated[dt.date, as_string]
+    since: Annotated[ChronoDuration, as_string]
+
+
+@record
+@dataclass
+class PartNumbers:
+    p_partkey: U64
+    p_size: NonZero[U8]
+    sizes: list[Optional[U16]]
+
+
+@record
+@dataclass
+class LabelBits:
+    doc_id: I64
+    good: bool
+    maybe_toxic: Optional[bool]
+    bits: list[bool]
+
+
+@record
+@dataclass
+class Pointed:
+    s_suppkey: Box[I64]
+    s_name: Optional[Rc[str]]
+    nation: Arc[Nation]
+    numbers: Box[list[Box[I32]]]
+
+
+@record
+@dataclass
+class OrderMaybePairs:
+    o_orderkey: I64
+    pairs: list[Optional[tuple[I32, float]]]
+
+
 def _customer() -> Column:
     return F.struct("c_custkey", "c_name", "c_nationkey", "c_mktsegment").alias("customer")
 
@@ -328,11 +406,72 @@ def ingest_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_of(Nation).to_df(spark, rows)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def _zoned() -> Column:
+    """The events' times as those of a zone two and a half hours east: instants, whatever the session's zone."""
+    return F.concat(F.col("ts").cast("string"), F.lit("+02:30")).cast("timestamp")
+
+
+def _since() -> Column:
+    return F.col("ts") - F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00.000001'")
+
+
+def timestamp_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_of(EventZoned).flatten(_events(spark, sf_dir).select("event_id", *(_zoned().alias(c) for c in ("ts", "ts_us", "ts_ns"))))
+
+
+def duration_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = _since()
+    return plan_of(EventSpan).flatten(_events(spark, sf_dir).select("event_id", since.alias("since"), F.abs(since).alias("since_std")))
+
+
+def duration_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals in the two units that they carry, read back as microseconds."""
+    flat = plan_of(EventSpanMs).flatten(_events(spark, sf_dir).select("event_id", _since().alias("since"), (-_since()).alias("until")))
+    return flat.select("event_id", *(interval_micros(F.col(c)).alias(c) for c in ("since", "until")))
+
+
+def time_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nanoseconds of the day as whole numbers, as Spark's own times are off by default."""
+    at = F.pmod(timestamp_micros(F.col("ts"), types.TimestampNTZType()), F.lit(86_400_000_000)) * 1_000
+    return plan_of(EventTime).flatten(_events(spark, sf_dir).select("event_id", at.alias("at"), F.when(F.col("event_id") % 3 > 0, at).alias("maybe")))
+
+
+def as_string_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    return plan_of(EventText).flatten(_events(spark, sf_dir).select("event_id", "ts", _zoned().alias("zoned"), ts.cast("date").alias("day"), _since().alias("since")))
+
+
+def unsigned_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.array(F.col("p_size"), F.lit(None).cast("int"), F.col("p_size") * 1_000)
+    return plan_of(PartNumbers).flatten(table(spark, sf_dir, "part").select("p_partkey", "p_size", sizes.alias("sizes")))
+
+
+def bool_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    return plan_of(LabelBits).flatten(table(spark, sf_dir, "labels").select("doc_id", good.alias("good"), F.when(good, toxic).alias("maybe_toxic"), F.array(good, toxic).alias("bits")))
+
+
+def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return plan_of(Pointed).flatten(joined.select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("s_name"), F.struct("n_nationkey", "n_name").alias("nation"), F.array("s_nationkey", "n_regionkey").alias("numbers")))
+
+
+def vec_option_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(*_ITEM, "l_discount"))).alias("all"))
+    pair = lambda x: F.when(x.l_discount <= 0.05, F.struct(x.l_linenumber.alias("field_0"), x.l_quantity.alias("field_1")))
+    return plan_of(OrderMaybePairs).flatten(held.select("o_orderkey", F.transform("all", pair).alias("pairs")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         orders_flat_customer, orders_items_lists, orders_items_rows, customer_orders_items, optional_nested, vec_option_nested, option_vec_empty_vs_null, tuple_fields, vec_tuple_fields, tuple_vec_element, skip_field,
         decimal_half_even, time_unit_ms, time_unit_us, date_leaf, as_string_bool_int, as_str_leaf, as_binary_leaf, list_leaf, generic_payload, unit_payload, empty_frame, stringify_nested, ingest_nations,
+        timestamp_utc, duration_ns, duration_ms, time_leaf, as_string_times, unsigned_range, bool_leaves, pointers, vec_option_tuple,
     )
 }
 
@@ -344,6 +483,15 @@ def _lists(prefix: str, columns: tuple[str, ...], when: str = "") -> str:
     return ", ".join(f'list({value(c)} ORDER BY {_ITEM_SQL}{", l_discount" if when else ""}) AS "{prefix}.{c}"' for c in columns)
 
 
+_SINCE = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00.000001'))"
+_UTC = "(ts - INTERVAL 150 MINUTE)"
+
+
+def _shown(us: str, seconds: str) -> str:
+    """Text up to the seconds, and none, three or six digits of their fraction."""
+    return f"{seconds} || CASE WHEN {us} % 1000000 = 0 THEN '' WHEN {us} % 1000 = 0 THEN '.' || lpad(({us} % 1000000 // 1000)::VARCHAR, 3, '0') ELSE '.' || lpad(({us} % 1000000)::VARCHAR, 6, '0') END"
+
+
 _ORDER_ITEMS = f"(SELECT l_orderkey, {_lists('items', _ITEM)} FROM lineitem GROUP BY l_orderkey)"
 
 SQL: dict[str, str] = {
@@ -375,4 +523,16 @@ SQL: dict[str, str] = {
     "empty_frame": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE false",
     "stringify_nested": "SELECT n_nationkey, n_nationkey::VARCHAR || ':' || n_name AS nation FROM nation",
     "ingest_nations": "SELECT n_nationkey, n_name FROM nation",
+    "timestamp_utc": f"SELECT event_id, date_trunc('milliseconds', {_UTC}) AS ts, {_UTC} AS ts_us, epoch_us({_UTC}) * 1000 AS ts_ns FROM events",
+    "duration_ns": f"SELECT event_id, {_SINCE} * 1000 AS since, abs({_SINCE}) * 1000 AS since_std FROM events",
+    "duration_ms": f"SELECT event_id, {_SINCE} - {_SINCE} % 1000 AS since, -{_SINCE} AS until FROM events",
+    "time_leaf": "SELECT event_id, epoch_us(ts) % 86400000000 * 1000 AS at, CASE WHEN event_id % 3 > 0 THEN epoch_us(ts) % 86400000000 * 1000 END AS maybe FROM events",
+    "as_string_times": f"""
+        SELECT event_id, {_shown("epoch_us(ts)", "strftime(ts, '%Y-%m-%d %H:%M:%S')")} AS ts, {_shown("epoch_us(ts)", f"strftime({_UTC}, '%Y-%m-%d %H:%M:%S')")} || ' UTC' AS zoned, ts::DATE::VARCHAR AS day,
+          CASE WHEN s = 0 THEN 'P0D' ELSE CASE WHEN s < 0 THEN '-PT' ELSE 'PT' END || abs(s) // 1000000 || CASE WHEN abs(s) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((abs(s) % 1000000)::VARCHAR, 6, '0'), '0') END || 'S' END AS since
+        FROM (SELECT *, {_SINCE} AS s FROM events)""",
+    "unsigned_range": "SELECT p_partkey::DECIMAL(20,0) AS p_partkey, p_size::SMALLINT AS p_size, [p_size, NULL, p_size * 1000]::INTEGER[] AS sizes FROM part",
+    "bool_leaves": "SELECT doc_id, quality = 1 AS good, CASE WHEN quality = 1 THEN toxic = 1 END AS maybe_toxic, [quality = 1, toxic = 1] AS bits FROM labels",
+    "pointers": """SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name END AS s_name, n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name", [s_nationkey, n_regionkey] AS numbers FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "vec_option_tuple": f"""SELECT l_orderkey AS o_orderkey, list(CASE WHEN l_discount <= 0.05 THEN l_linenumber END ORDER BY {_ITEM_SQL}, l_discount) AS "pairs.field_0", list(CASE WHEN l_discount <= 0.05 THEN l_quantity END ORDER BY {_ITEM_SQL}, l_discount) AS "pairs.field_1" FROM lineitem GROUP BY l_orderkey""",
 }

@@ -44,6 +44,10 @@ class RecordPlan:
         """Column names and logical types, from the declaration alone."""
         return [(c.name, c.logical) for c in self.columns]
 
+    @cached_property
+    def encode(self) -> Any:
+        return encoder(self.root)
+
     @property
     def nested_struct(self) -> T.StructType:
         return _spark_type(self.root)
@@ -60,7 +64,7 @@ class RecordPlan:
         rows = list(rows)
         if not rows:
             return self.empty_df(spark)
-        return flatten(ingest(spark, rows, encoder(self.root), self.nested_struct), self.columns, carried=True)
+        return flatten(ingest(spark, rows, self.encode, self.nested_struct), self.columns, carried=True)
 
     def flatten(self, df: DataFrame) -> DataFrame:
         """A nested DataFrame, batch or streaming, as flat columns: one projection."""

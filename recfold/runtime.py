@@ -5,13 +5,16 @@ Codecs are found by type in a registry, never by a method that a value happens t
 
 from __future__ import annotations
 
+import datetime as dt
 import decimal
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from .errors import EncodeError, RecordError
-from .types import Logical
+from .types import INTEGERS, Logical
+
+RANGES = {kind: (least, most) for kind, least, most, _ in INTEGERS.values()}
 
 
 def half_even_mantissa(value: decimal.Decimal, scale: int) -> int | None:
@@ -29,6 +32,25 @@ def half_even_mantissa(value: decimal.Decimal, scale: int) -> int | None:
     return None if magnitude >= 1 << 127 else -magnitude if sign else magnitude
 
 
+def fits(value: Any, logical: Logical) -> bool:
+    """Whether a value is what carries a logical type."""
+    kind = logical.kind
+    if kind == "List":
+        return isinstance(value, (list, tuple)) and all(x is None or fits(x, logical.args[0]) for x in value)
+    if limits := RANGES.get(kind):
+        if isinstance(value, bool):
+            return False
+        if "128" in kind:
+            return isinstance(value, str) and value.lstrip("-").isdigit() and limits[0] <= int(value) <= limits[1]
+        return isinstance(value, (int, decimal.Decimal)) and value == int(value) and limits[0] <= value <= limits[1]
+    if kind in ("Datetime", "Duration"):
+        return type(value) is (int if logical.args[0] == "ns" else dt.datetime if kind == "Datetime" else dt.timedelta)
+    if kind == "Date":
+        return isinstance(value, dt.date) and not isinstance(value, dt.datetime)
+    carried = {"Boolean": bool, "String": str, "Binary": (bytes, bytearray), "Time": int, "Float32": (float,), "Float64": (float,), "Decimal": decimal.Decimal}
+    return isinstance(value, carried[kind]) and (kind == "Boolean" or not isinstance(value, bool))
+
+
 @dataclass
 class ManualRecord:
     """A record whose schema and encoding are written by hand."""
@@ -37,14 +59,17 @@ class ManualRecord:
     encode: Callable[[list[Any]], list[tuple]]
 
     def rows(self, values: list[Any]) -> list[tuple]:
-        """One tuple per value, checked against the declared schema's width and the input's height."""
+        """One tuple per value of a batch, checked against the batch's height and the declared schema's width and types."""
         made = self.encode(values)
         if len(made) != len(values):
             raise EncodeError(f"encoded height {len(made)} differs from the input's {len(values)}")
-        width = len(self.schema())
+        declared = self.schema()
         for row in made:
-            if len(row) != width:
-                raise EncodeError(f"encoded width {len(row)} differs from the declared schema's {width}")
+            if len(row) != len(declared):
+                raise EncodeError(f"encoded width {len(row)} differs from the declared schema's {len(declared)}")
+            for value, (name, logical) in zip(row, declared, strict=True):
+                if value is not None and not fits(value, logical):
+                    raise EncodeError(f"dtype mismatch: column {name} is declared {logical} and holds {value!r}")
         return made
 
 
