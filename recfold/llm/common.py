@@ -29,9 +29,11 @@ SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one on a single machine, an error on a cluster."""
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="recfold-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -66,19 +68,28 @@ def is_scan(df: DataFrame) -> bool:
     return all(n.startswith("Project") or n.startswith("Relation") and n.endswith("parquet") for n in nodes if n) and not any("rand" in n or "uuid" in n for n in nodes)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a number for each row that means the same row in every later read.
+    """``df`` with a number ``name`` for each row that means the same row in every later read.
 
     Rows of Parquet files are numbered by file and place in the file, which no other split of the
     files changes. Anything else, or a table of very many files, is written first.
     """
     if is_scan(df):
-        files = df.select("_metadata.file_path").distinct().limit(MOST_FILES + 1).collect()
+        files = df.select(df.metadataColumn("_metadata")["file_path"]).distinct().limit(MOST_FILES + 1).collect()
         if 0 < len(files) <= MOST_FILES:
-            numbers = df.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sorted(files))], "numbered_file string, file_number long")
-            placed = df.select("*", F.col("_metadata.file_path").alias("numbered_file"), F.col("_metadata.row_index").alias("numbered_place"))
-            number = F.shiftleft("file_number", 44) + F.col("numbered_place")
-            return placed.join(F.broadcast(numbers), "numbered_file").select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
+            file, nth, place = (fresh_name(df, x) for x in ("numbered_file", "numbered_nth", "numbered_place"))
+            numbers = df.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sorted(files))], f"{file} string, {nth} long")
+            held = df.metadataColumn("_metadata")
+            placed = df.select("*", held["file_path"].alias(file), held["row_index"].alias(place))
+            number = F.shiftleft(nth, 44) + F.col(place)
+            return placed.join(F.broadcast(numbers), file).select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
@@ -126,6 +137,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             a = b
 
 
+def gathered(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches pool[first : first + size], one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def crc32_u32(values: np.ndarray) -> int:
     """CRC-32 of the values as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(values, dtype="<u4"))

@@ -7,8 +7,8 @@ document. ``part`` and ``local_start`` give a document's place: the ids of all d
 those of the parts before its own, which one small sum over the files' metadata columns yields.
 
 Nulls: a null text is an empty text; a null doc_id sorts first. Repeated rows are written once each,
-those with equal doc_id by length and hash of the text. Further columns are ignored. An empty table
-gives files without rows.
+those with equal doc_id by length and hash of the text. A very long text is one row. Further columns
+are ignored, whatever their names. An empty table gives files without rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ of its length, which is counted per partition and length, so that a length which
 share is never gathered in one task.
 
 Nulls: a null text is an empty text, a null doc_id is kept. An empty text is a piece of the end id
-alone. Repeated rows are packed once each. Further columns are ignored.
+alone. A very long text is cut into as many pieces as it needs. Ties (pieces of equal length) are told
+apart by their rank. Repeated rows are packed once each. An empty table gives no rows. Further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc32_u32, list_array, list_parts, map_batches, only, slices, written
+from .common import crc32_u32, list_array, map_batches, only, slices, written
 
-PIECES = "part int, rank long, doc_id long, piece int, start long, length int, ids array<int>"
+PIECES = "part int, rank long, doc_id long, piece int, start long, length int, ids_crc32 long, ids array<int>"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Rows of the counts per partition and length that are broadcast; beyond, they meet the pieces in a sort-merge join.
+BROADCAST_COUNTS = 200_000
 
 
 class CapacityTree:
@@ -113,10 +117,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] + seen[by_length] if len(order) else 0
             seen += np.bincount(length, minlength=max_len + 1)
+            at = offsets[doc] + start
+            crc = [crc32_u32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(doc), part), pa.int32()), pa.array(rank), batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32()),
-                pa.array(start), pa.array(length, pa.int32()), list_array(ids.view(np.int32), np.concatenate((offsets[doc] + start, offsets[-1:])), pa.int32()),
-            ], names=["part", "rank", "doc_id", "piece", "start", "length", "ids"])
+                pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), list_array(ids.view(np.int32), np.concatenate((at, offsets[-1:])), pa.int32()),
+            ], names=["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return written(map_batches(only(docs, "doc_id", "text"), cut, PIECES), "pieces")
 
@@ -130,12 +136,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_len: int = 1024)
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # max_len rows at most
     runs = {length: tuple(np.array(x, np.int64) for x in zip(*of, strict=True)) for length, of in best_fit_decreasing(histogram, max_len).items()}
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = list_parts(batch.column("ids"))
-            crc = [crc32_u32(values[a:b].view(np.uint32)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(crc, pa.int64()))
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy() + batch.column("base").to_numpy()
@@ -149,8 +149,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_len: int = 1024)
             kept = [batch.column("doc_id"), batch.column("piece"), batch.column("start"), pa.array(length.astype(np.int64)), batch.column("ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    light = map_batches(cut, digest, PIECES.replace("ids array<int>", "ids_crc32 long"))
-    ranked = light.join(counts.select("length", "part", "base"), ["length", "part"])
+    bases = counts.select("length", "part", "base")
+    bases = F.broadcast(bases) if counts.count() <= BROADCAST_COUNTS else bases.hint("merge")
+    ranked = cut.drop("ids").join(bases, ["length", "part"])
     return map_batches(ranked, place, PLACES), cut
 
 
