@@ -4,14 +4,22 @@ Each text gets counts and, from them, four whole-number ratios. A sketch is a co
 ratio; buckets have a sixteenth of their value as width, so a quantile read from a sketch is off by at
 most that, and sketches merge by adding counts, in any order, to the same sketch. Counts are added up
 where the rows are before anything moves, so a source with a third of all rows costs no more than
-another. A language and source with fewer than ``least`` rows takes the merged sketch of its language,
-and a language with fewer that of all rows. The cutoffs are then joined to the texts and filter them.
-
-A cutoff lies far outside the middle of its own group: the median, eight times the distance from the
-median to the next quartile, and a fixed allowance, so that clean texts stay in groups without spread.
-
-Nulls: a null text has no words and fails; a null language or source is a group of its own. Repeated
-rows are judged alike. An empty table gives no rows.
+another. The cutoffs are then joined to the texts and filter them.
+
+Quartiles of a language and source are shrunk toward those of its language, and these toward those of
+all rows, as if ``weight`` further rows had the wider group's, so a small group borrows from a larger
+one and a large group speaks for itself. A cutoff lies SPREAD upper spreads (median to upper quartile)
+beyond the median. Junk within a source widens its upper spread alone; this counts for no more than
+BOUND times the greatest of its lower spread and the upper spreads of its language and of all rows. So
+a source in which up to half of the rows are junk does not let them pass. The mean word length has a
+lower cutoff as well. There is no fixed level: what is usual in a source passes there, and a text goes
+for a rate far from its own source's. FEW single symbols, lines or words say nothing of a rate and are
+not counted.
+
+Nulls: a null text has no words and fails; a null language or source is a group of its own. Very long
+texts are counted whole. Repeated rows are judged alike, each counted in the sketches; ties in a sketch
+share its bucket. An empty table gives no rows. Further columns, whatever their names, are ignored by
+``quality`` and kept by ``quality_filter``.
 """
 
 from __future__ import annotations
@@ -25,18 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, only, slices, written
+from .common import fresh_name, map_batches, only, slices, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
 RATIOS = ("symbols", "word_length", "lines", "echoes")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Spread allowed beyond the median, in distances from the median to the next quartile.
-SPREAD = 8
-#: Fixed allowances: symbols per million word characters, repeated lines and words equal to the one before per million
-#: words. That of the mean word length is the median itself.
-SYMBOL_ALLOWANCE, LINE_ALLOWANCE, ECHO_ALLOWANCE = 20_000, 100_000, 200_000
-LEAST_ROWS = 200
+#: Spreads allowed beyond the median; how far a group's upper spread may exceed the others that it is held against.
+SPREAD, BOUND = 8, 4
+#: Symbols, repeated lines and words equal to the one before that are not counted against a text.
+FEW = 3
+#: Rows that the wider group's quartiles count for in those of a group.
+WEIGHT = 200
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -101,17 +109,17 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def base_failed(c: str = "") -> Column:
-    return (F.col(f"{c}n_words") < 10) | (100 * F.col(f"{c}n_repeat_words") > 20 * F.col(f"{c}n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def ratios(c: str = "") -> dict[str, Column]:
-    words, chars = F.greatest(F.col(f"{c}n_words"), F.lit(1)), F.greatest(F.col(f"{c}word_chars"), F.lit(1))
+def ratios() -> dict[str, Column]:
+    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "symbols": _div(F.col(f"{c}n_symbols") * 1_000_000, chars),
-        "word_length": _div(F.col(f"{c}word_chars") * 1_000, words),
-        "lines": _div(F.col(f"{c}n_dup_lines") * 1_000_000, words),
-        "echoes": _div(F.col(f"{c}n_echo_words") * 1_000_000, words),
+        "symbols": _div(F.col("n_symbols") * 1_000_000, chars),
+        "word_length": _div(F.col("word_chars") * 1_000, words),
+        "lines": _div(F.col("n_dup_lines") * 1_000_000, words),
+        "echoes": _div(F.col("n_echo_words") * 1_000_000, words),
     }
 
 
@@ -128,10 +136,10 @@ def bucket_floor(b: Column) -> Column:
     return F.when(b < 16, b.cast("long")).otherwise(F.call_function("shiftleft", (b % 16 + 16).cast("long"), step))
 
 
-def sketches(counted: DataFrame, c: str = "") -> DataFrame:
+def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): the sketches of texts that pass the base rules."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in ratios(c).items()))).alias("x")
-    rows = counted.filter(~base_failed(c)).select("lang", "source", pairs)
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in ratios().items()))).alias("x")
+    rows = counted.filter(~base_failed()).select("lang", "source", pairs)
     return rows.groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -149,44 +157,61 @@ def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(F.max("rows").alias("rows"), *map(of, RATIOS))
 
 
-def cutoffs(sketch: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """One row per language and source: the greatest symbols, word_length, lines and echoes."""
-    own = _quartiles(sketch, ["lang", "source"])
-    names = ("rows", *RATIOS)
-    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), *(F.col(x).alias(f"l_{x}") for x in names))
-    every = _quartiles(sketch.withColumn("all", F.lit(1)), ["all"]).select("all", *(F.col(x).alias(f"a_{x}") for x in names))
-    joined = own.join(lang, own.lang.eqNullSafe(lang.l_lang)).withColumn("all", F.lit(1)).join(every, "all")
-    pick = lambda x: F.when(F.col("rows") >= least, F.col(x)).when(F.col("l_rows") >= least, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
-    s, w, n, e = map(pick, RATIOS)
-    high = lambda q: q.q2 + SPREAD * (q.q3 - q.q2)
+def cutoffs(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """One row per language and source: the greatest symbols, lines and echoes, the least and greatest word_length.
+
+    ``sketch`` is read several times, so it should be a written table.
+    """
+    own, names = _quartiles(sketch, ["lang", "source"]), ("rows", *RATIOS)
+    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("of_lang"), *(F.col(x).alias(f"of_{x}") for x in names))
+    every = _quartiles(sketch, []).first()  # twelve numbers, nulls where there are no rows
+    joined = own.join(lang, own.lang.eqNullSafe(lang.of_lang))
+
+    def shrunk(rows: Column, mine: Column, wider: Column) -> Column:
+        return F.struct(*(_div(rows * mine[q] + weight * wider[q], rows + weight).alias(q) for q in ("q1", "q2", "q3")))
+
+    for r in RATIOS:
+        wide = F.struct(*(F.lit(every[r][q] if every[r] else 0).cast("long").alias(q) for q in ("q1", "q2", "q3")))
+        joined = joined.withColumn(f"all_{r}", wide).withColumn(f"of_{r}", shrunk(F.col("of_rows"), F.col(f"of_{r}"), F.col(f"all_{r}")))
+        joined = joined.withColumn(r, shrunk(F.col("rows"), F.col(r), F.col(f"of_{r}")))
+
+    def upper(r: str) -> Column:
+        up = lambda x: F.col(x)["q3"] - F.col(x)["q2"]
+        return F.col(r)["q2"] + SPREAD * F.least(up(r), BOUND * F.greatest(F.col(r)["q2"] - F.col(r)["q1"], up(f"of_{r}"), up(f"all_{r}")))
+
+    middle = F.col("word_length")["q2"]
+    half = _div(middle, F.lit(2))
     return joined.select(
-        F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), (high(s) + SYMBOL_ALLOWANCE).alias("most_symbols"),
-        (high(w) + w.q2).alias("most_length"), (high(n) + LINE_ALLOWANCE).alias("most_lines"), (high(e) + ECHO_ALLOWANCE).alias("most_echoes"),
+        F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), upper("symbols").alias("most_symbols"), (upper("word_length") + half).alias("most_length"),
+        (middle - SPREAD * (middle - F.col("word_length")["q1"]) - half).alias("least_length"), upper("lines").alias("most_lines"), upper("echoes").alias("most_echoes"),
     )
 
 
-def judged(counted: DataFrame, cuts: DataFrame, c: str = "") -> DataFrame:
-    """All columns of ``counted``, base_failed and kept."""
-    r = ratios(c)
-    good = (r["symbols"] <= F.col("most_symbols")) & (r["word_length"] <= F.col("most_length")) & (r["lines"] <= F.col("most_lines")) & (r["echoes"] <= F.col("most_echoes"))
+def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """All columns of ``counted`` (lang, source, COUNTS and others without clash), base_failed and kept."""
+
+    def rate(n: str, most: str, of: str) -> Column:
+        return F.greatest(F.col(n) - FEW, F.lit(0)) * 1_000_000 <= F.col(most) * F.greatest(F.col(of), F.lit(1))
+
+    length = ratios()["word_length"]
+    good = rate("n_symbols", "most_symbols", "word_chars") & rate("n_dup_lines", "most_lines", "n_words") & rate("n_echo_words", "most_echoes", "n_words") & (length <= F.col("most_length")) & (length >= F.col("least_length"))
     rows = counted.join(cuts, counted["lang"].eqNullSafe(cuts["cut_lang"]) & counted["source"].eqNullSafe(cuts["cut_source"]), "left")
-    return rows.withColumn("base_failed", base_failed(c)).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop(*cuts.columns)
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop(*cuts.columns)
 
 
-def quality(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+def quality(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of ``docs``."""
     counted = with_counts(only(docs, "doc_id", "lang", "source", "text"), "counts").select("doc_id", "lang", "source", "counts.*")
     counted = written(counted, "quality-counts")
-    return judged(counted, cutoffs(sketches(counted), least)).select("doc_id", *COUNTS[:5], "base_failed", "kept", COUNTS[5])
+    cuts = cutoffs(written(sketches(counted), "sketches"), weight)
+    return judged(counted, cuts).select("doc_id", *COUNTS[:5], "base_failed", "kept", COUNTS[5])
 
 
-def quality_filter(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+def quality_filter(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns. Counts are made twice rather than texts written twice."""
-    name = "quality_counts"
-    while name in docs.columns:
-        name += "_"
-    counted = with_counts(docs, name)
-    first = with_counts(only(docs, "lang", "source", "text"), name).select("lang", "source", name)
-    cuts = written(cutoffs(sketches(first, f"{name}."), least), "cutoffs")
-    rows = judged(counted, cuts, f"{name}.")
-    return rows.filter("kept").select(*(F.col(f"`{x}`") for x in docs.columns))
+    name = fresh_name(docs, "quality_counts")
+    first = with_counts(only(docs, "lang", "source", "text"), name).select("lang", "source", f"{name}.*")
+    cuts = written(cutoffs(written(sketches(first), "sketches"), weight), "cutoffs")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    counted = with_counts(docs, name).select(row, "lang", "source", f"{name}.*")
+    return judged(counted, cuts).filter("kept").select("row.*")
