@@ -7,14 +7,15 @@ where the rows are before anything moves, so a source with a third of all rows c
 another. The cutoffs are then joined to the texts and filter them.
 
 Quartiles of a language and source are shrunk toward those of its language, and these toward those of
-all rows, as if ``weight`` further rows had the wider group's, so a small group borrows from a larger
-one and a large group speaks for itself. A cutoff lies SPREAD upper spreads (median to upper quartile)
-beyond the median. Junk within a source widens its upper spread alone; this counts for no more than
-BOUND times the greatest of its lower spread and the upper spreads of its language and of all rows. So
-a source in which up to half of the rows are junk does not let them pass. The mean word length has a
-lower cutoff as well. There is no fixed level: what is usual in a source passes there, and a text goes
-for a rate far from its own source's. FEW single symbols, lines or words say nothing of a rate and are
-not counted.
+all rows: a group of fewer than ``weight`` rows is taken as if the rest of them had the wider group's, so a
+small group borrows from a larger one and a large group speaks for itself. A cutoff lies SPREAD upper
+spreads (median to upper quartile) beyond the median. Junk within a source widens its upper spread
+alone; this counts for no more than the greater of its lower spread and the usual upper spread, the
+median of all groups'. So a source in which up to half of the rows are junk does not let them pass, as
+long as most sources are not such. The mean word length has a lower cutoff as well, and both lie half
+the median away at least. There is no fixed level: what is usual in a source passes there, and a text
+goes for a rate far from its own source's. FEW single symbols, lines or words say nothing of a rate and
+are not counted.
 
 Nulls: a null text has no words and fails; a null language or source is a group of its own. Very long
 texts are counted whole. Repeated rows are judged alike, each counted in the sketches; ties in a sketch
@@ -39,11 +40,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RATIOS = ("symbols", "word_length", "lines", "echoes")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Spreads allowed beyond the median; how far a group's upper spread may exceed the others that it is held against.
-SPREAD, BOUND = 8, 4
+#: Spreads allowed beyond the median.
+SPREAD = 8
 #: Symbols, repeated lines and words equal to the one before that are not counted against a text.
 FEW = 3
-#: Rows that the wider group's quartiles count for in those of a group.
+#: Rows below which a group borrows from the wider one.
 WEIGHT = 200
 
 
@@ -168,22 +169,25 @@ def cutoffs(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
     joined = own.join(lang, own.lang.eqNullSafe(lang.of_lang))
 
     def shrunk(rows: Column, mine: Column, wider: Column) -> Column:
-        return F.struct(*(_div(rows * mine[q] + weight * wider[q], rows + weight).alias(q) for q in ("q1", "q2", "q3")))
+        return F.struct(*(_div(rows * mine[q] + F.greatest(weight - rows, F.lit(0)) * wider[q], F.greatest(rows, F.lit(weight))).alias(q) for q in ("q1", "q2", "q3")))
 
     for r in RATIOS:
         wide = F.struct(*(F.lit(every[r][q] if every[r] else 0).cast("long").alias(q) for q in ("q1", "q2", "q3")))
         joined = joined.withColumn(f"all_{r}", wide).withColumn(f"of_{r}", shrunk(F.col("of_rows"), F.col(f"of_{r}"), F.col(f"all_{r}")))
         joined = joined.withColumn(r, shrunk(F.col("rows"), F.col(r), F.col(f"of_{r}")))
 
-    def upper(r: str) -> Column:
-        up = lambda x: F.col(x)["q3"] - F.col(x)["q2"]
-        return F.col(r)["q2"] + SPREAD * F.least(up(r), BOUND * F.greatest(F.col(r)["q2"] - F.col(r)["q1"], up(f"of_{r}"), up(f"all_{r}")))
+    levels = written(joined.select("lang", "source", *RATIOS), "levels")
+    usual = levels.agg(*(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {r}.q3 - {r}.q2)").alias(r) for r in RATIOS)).first()
+
+    def beyond(r: str) -> Column:
+        return SPREAD * F.least(F.col(r)["q3"] - F.col(r)["q2"], F.greatest(F.col(r)["q2"] - F.col(r)["q1"], F.lit(int(usual[r] or 0))))
 
     middle = F.col("word_length")["q2"]
-    half = _div(middle, F.lit(2))
-    return joined.select(
-        F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), upper("symbols").alias("most_symbols"), (upper("word_length") + half).alias("most_length"),
-        (middle - SPREAD * (middle - F.col("word_length")["q1"]) - half).alias("least_length"), upper("lines").alias("most_lines"), upper("echoes").alias("most_echoes"),
+    half = _div(middle, F.lit(2))  # a mean of few words is far from its source's by chance
+    upper = lambda r: F.col(r)["q2"] + beyond(r)
+    return levels.select(
+        F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), upper("symbols").alias("most_symbols"), (middle + F.greatest(beyond("word_length"), half)).alias("most_length"),
+        (middle - F.greatest(SPREAD * (middle - F.col("word_length")["q1"]), half)).alias("least_length"), upper("lines").alias("most_lines"), upper("echoes").alias("most_echoes"),
     )
 
 

@@ -125,11 +125,11 @@ def _op6_sql() -> str:
 
 
 def _op2_sql() -> str:
-    from .quality import BOUND, FEW, RATIOS, SPREAD, WEIGHT
+    from .quality import FEW, RATIOS, SPREAD, WEIGHT
 
     word = r"[^\x20\x09-\x0D]+"
     floor = lambda b: f"(CASE WHEN {b} < 16 THEN {b} ELSE ({b} % 16 + 16) << greatest({b} // 16 - 1, 0)::INT END)::BIGINT"
-    shrunk = lambda x, y: ", ".join(f"({x}.n * {x}.q{k} + {WEIGHT} * {y}.q{k}) // ({x}.n + {WEIGHT}) AS q{k}" for k in (1, 2, 3))
+    shrunk = lambda x, y: ", ".join(f"({x}.n * {x}.q{k} + greatest({WEIGHT} - {x}.n, 0) * {y}.q{k}) // greatest({x}.n, {WEIGHT}) AS q{k}" for k in (1, 2, 3))
     cut = lambda x, ratio: f"LEFT JOIN cuts {x} ON {x}.ratio = '{ratio}' AND {x}.lang IS NOT DISTINCT FROM r.lang AND {x}.source IS NOT DISTINCT FROM r.source"
     rate = lambda n, x, of: f"greatest({n} - {FEW}, 0) * 1000000 <= {x}.high * greatest({of}, 1)"
     level = lambda by: f"""SELECT {by} ratio, max(total)::BIGINT AS n, {", ".join(floor(f"min(bucket) FILTER (WHERE 4 * upto >= {k} * total)") + f" AS q{k}" for k in (1, 2, 3))}
@@ -151,12 +151,13 @@ def _op2_sql() -> str:
     sketch AS (SELECT lang, source, ratio, CASE WHEN v < 16 THEN v ELSE 16 * (length(bin(v)) - 5) + (v >> greatest(length(bin(v)) - 5, 0)::INT) END AS bucket, count(*) AS n
       FROM (SELECT lang, source, unnest([{", ".join(f"'{r}'" for r in RATIOS)}]) AS ratio, unnest([{", ".join(RATIOS)}]) AS v FROM ratios WHERE NOT base_failed) GROUP BY ALL),
     own AS ({level("lang, source,")}), langs AS ({level("lang,")}), every AS ({level("")}),
-    wide AS (SELECT l.lang, l.ratio, a.q3 - a.q2 AS all_up, {shrunk("l", "a")} FROM langs l JOIN every a ON l.ratio = a.ratio),
-    narrow AS (SELECT o.lang, o.source, o.ratio, w.all_up, w.q3 - w.q2 AS of_up, {shrunk("o", "w")} FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.ratio = w.ratio),
-    cuts AS (SELECT lang, source, ratio, q2 // 2 AS half, q2 - {SPREAD} * (q2 - q1) AS low, q2 + {SPREAD} * least(q3 - q2, {BOUND} * greatest(q2 - q1, of_up, all_up)) AS high FROM narrow)
+    wide AS (SELECT l.lang, l.ratio, {shrunk("l", "a")} FROM langs l JOIN every a ON l.ratio = a.ratio),
+    narrow AS (SELECT o.lang, o.source, o.ratio, {shrunk("o", "w")} FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.ratio = w.ratio),
+    usual AS (SELECT ratio, quantile_disc(q3 - q2, 0.5) AS up FROM narrow GROUP BY ratio),
+    cuts AS (SELECT lang, source, ratio, q2, q2 - greatest({SPREAD} * (q2 - q1), q2 // 2) AS low, q2 + {SPREAD} * least(q3 - q2, greatest(q2 - q1, up)) AS high FROM narrow JOIN usual USING (ratio))
     SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT base_failed AND coalesce({rate("n_symbols", "s", "word_chars")} AND {rate("n_dup_lines", "n", "n_words")} AND {rate("n_echo_words", "e", "n_words")}
-        AND word_length BETWEEN w.low - w.half AND w.high + w.half, false) AS kept, n_echo_words
+        AND word_length BETWEEN w.low AND greatest(w.high, w.q2 + w.q2 // 2), false) AS kept, n_echo_words
     FROM ratios r {cut("s", "symbols")} {cut("w", "word_length")} {cut("n", "lines")} {cut("e", "echoes")}"""
 
 
