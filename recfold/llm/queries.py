@@ -111,17 +111,34 @@ def _op7_sql() -> str:
 
 
 def _op6_sql() -> str:
-    from .licenses import RULES, SENTENCES
-
-    known = ", ".join(f"('{sentence}', '{i}')" for i, sentence in SENTENCES.items())
-    holds = ", ".join(f"CASE WHEN regexp_matches(s, ',(.*,)?{',(.*,)?'.join(x.replace('.', '[.]') for x in of)},') THEN '{name}' END" for name, of in RULES)
-    names = ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in RULES))
+    from .licenses import ALL_RULES, CANONICAL, CODES, KNOWN, LEADER, LINE_END, SENTENCE_END, SPDX, pattern, taken_first
+
+    def held(name: str, of: list[str]) -> str:
+        rest = "s"
+        for longer in taken_first(name, of, ALL_RULES):
+            rest = f"regexp_replace({rest}, '{longer}', '', 'g')"
+        return f"CASE WHEN regexp_matches({rest}, '{pattern(of)}') THEN '{name}' END"
+
+    known = ", ".join(f"('{sentence}', '{i}', '{CODES[i]}')" for sentence, i in KNOWN.items())
+    bare = f"regexp_replace(line, '{LEADER}', '')"
+    tagged = f"regexp_replace(regexp_replace({bare}, '{SPDX}', '\nspdx license identifier '), ' +(OR|AND|WITH) +', '\n\nspdx license identifier ', 'g') || '\n'"
+    cut = lambda way, of, end: f"SELECT doc_id, nth, {way} AS way, generate_subscripts(c, 1) AS k, trim(regexp_replace(lower(unnest(c)), '[^a-z0-9]+', ' ', 'g')) AS said FROM (SELECT doc_id, nth, regexp_split_to_array({of}, '{end}') AS c FROM paragraphs)"
+    names = ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in ALL_RULES))
+    alike = "said"
+    for old, new in CANONICAL:
+        alike = f"regexp_replace({alike}, '{old}', '{new}', 'g')"
     return f"""
-    WITH known(sentence, id) AS (VALUES {known}),
-    lines AS (SELECT doc_id, generate_subscripts(c, 1) AS nth, unnest(c) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\n|[.!?;:][ \t\r\n]|[.!?;:]$') AS c FROM documents)),
-    found AS (SELECT doc_id, string_agg(id, ',' ORDER BY nth) AS sentence_ids FROM lines JOIN known ON trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
-    held AS (SELECT doc_id, sentence_ids, list_distinct([{holds}]) AS h FROM (SELECT *, ',' || sentence_ids || ',' AS s FROM found))
-    SELECT doc_id, sentence_ids, array_to_string(list_filter([{names}], lambda x: list_contains(h, x)), ',') AS licenses FROM held"""
+    WITH known(sentence, id, code) AS (VALUES {known}),
+    lines AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(replace(text, '\r', ''), '\n') AS c FROM documents)),
+    joined AS (SELECT doc_id, replace(string_agg(CASE WHEN regexp_matches({bare}, '{SPDX}') THEN {tagged} ELSE {bare} END, '\n' ORDER BY i), ':\n', ':\n\n') AS t FROM lines GROUP BY doc_id),
+    paragraphs AS (SELECT doc_id, generate_subscripts(c, 1) AS nth, unnest(c) AS p FROM (SELECT doc_id, regexp_split_to_array(t, '\n\n+') AS c FROM joined)),
+    sentences AS ({cut(0, "replace(p, '\n', ' ')", SENTENCE_END)} UNION ALL {cut(1, "p", LINE_END)}),
+    found AS (SELECT doc_id, nth, way, k, coalesce(a.id, b.id) AS id, coalesce(a.code, b.code) AS code FROM sentences LEFT JOIN known a ON said = a.sentence
+      LEFT JOIN known b ON {alike} = b.sentence WHERE a.id IS NOT NULL OR b.id IS NOT NULL),
+    ways AS (SELECT doc_id, nth, arg_max(way, (n, -way)) AS way FROM (SELECT doc_id, nth, way, count(*) AS n FROM found GROUP BY ALL) GROUP BY doc_id, nth),
+    held AS (SELECT doc_id, sentence_ids, list_distinct([{", ".join(held(*r) for r in ALL_RULES)}]) AS h
+      FROM (SELECT doc_id, string_agg(id, ',' ORDER BY nth, k) AS sentence_ids, string_agg(code, '' ORDER BY nth, k) AS s FROM found JOIN ways USING (doc_id, nth, way) GROUP BY doc_id))
+    SELECT doc_id, sentence_ids, array_to_string(list_filter([{names}], lambda x: list_contains(h, x)), ',') AS licenses FROM held""".replace("\\z", "$")
 
 
 def _op2_sql() -> str:
