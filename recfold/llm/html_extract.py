@@ -11,11 +11,14 @@ The potentials are trained here, by counting over labelled pages: any pages whos
 pages in many layouts from a fixed seed; a caller may give its own instead.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed
-and joined by line feeds in page order. Scripts, styles, templates, form controls and comments are no
-text. Elements that HTML lets unclosed end where it says; stray end tags are ignored.
-
-Nulls: a null or empty html has an empty text; a null page_id or url is kept. Repeated rows are
-extracted alike. Further columns are ignored.
+and joined by line feeds in page order. Scripts, styles, templates, titles, form controls, embedded
+media and comments are no text. Elements that HTML lets unclosed end where it says, the head among
+them; stray end tags are ignored. An unclosed script, style, template or textarea runs to the page's
+end, as HTML says; any other element without its end tag hides nothing.
+
+Nulls: a null or empty html has an empty text; a null page_id or url is kept. Very long pages are read
+whole, in one pass. Where labels tie, a block counts as content. Repeated rows are extracted alike. An
+empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ TRAINING_PAGES, SMOOTHING = 800, 1.0
 ANY, UNSEEN = "*", (0.0, 0.0, 0.0)
 
 # Element names of HTML.
-RAW = "script style noscript template svg iframe object math head select textarea button canvas audio video".split()
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr picture source input meta link base col embed param track area".split())
+RAW = frozenset("script style noscript template title svg iframe object select textarea button canvas audio video".split())
+TO_END = frozenset("script style template textarea".split())
+MATHS = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded menclose msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split())
+INLINE = MATHS | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr picture source input meta link base col embed param track area".split())
 VOID = frozenset("hr input img br meta link base col embed param source track wbr area".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an element ends when it begins, and what keeps it from looking further out.
@@ -54,15 +59,17 @@ BOILERPLATE_WORDS = frozenset(
     " copyright legal pagination pager tags toolbar contentinfo complementary hidden skip toc outbrain taboola".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story body text maincontent".split())
+#: In a class such as has-comments or sidebar-layout: it says what the page has, not what the element is.
+LAYOUT_WORDS = frozenset("has with without no layout template theme enabled".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>(?:.*?</\1(?=[\s/>])[^>]*>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -81,7 +88,8 @@ def hint_of(attributes: str) -> tuple[str, str | None]:
     if not attributes.strip(" /"):
         return "none", None
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    words = set(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+    named = [set(_WORD.findall(x)) for x in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()]
+    words = set().union(*(x for x in named if not x & LAYOUT_WORDS))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     hint = "boilerplate" if hidden or words & BOILERPLATE_WORDS else "content" if words & CONTENT_WORDS else "none"
     return hint, found.get("data-label")
@@ -108,16 +116,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if links:
             nodes[stack[-1]].link_chars += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if not tag:
-            if m[1] and m[1].lower() not in ("svg", "math", "button"):
+            continue
+        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if tag in RAW:
+            if closing or tag == "svg" and attributes.endswith("/"):
+                continue
+            ends = None if tag in unclosed else _ENDS[tag].search(page, at)
+            if ends:
+                at = ends.end()
+            else:
+                unclosed.add(tag)
+                at = len(page) if tag in TO_END else at
+            if ends and tag not in ("svg", "button"):
                 end_block()
             continue
-        tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        if tag == "head":
+            continue
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
