@@ -8,9 +8,14 @@ hold a control string, and unescaping gives each back whole. The loss mask is a
 
 One window and one aggregation on the conversation share a single shuffle; everything is native.
 
+A conversation is one row, so its turns meet in one task and must fit there, however they are dealt.
+A span of the loss mask also names its turn and its place in the turn, so the mask is read in one pass
+over the turns.
+
 Nulls: a null text is empty, a null role is an empty role, a null turn comes first, rows with a null
-conv_id are one conversation. Turns that tie are ordered by role and content; repeated rows are turns
-of their own. Further columns are ignored.
+conv_id are one conversation. Very long texts are formatted whole. Turns that tie are ordered by role,
+content and attachments; repeated rows are turns of their own. An empty table gives no conversations.
+Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,14 +61,14 @@ def attachments(parts: Column) -> Column:
 
 
 def format_chat(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, n_turns, loss_spans (start, length in characters), attachments; from conv_id, turn, role, parts."""
+    """conv_id, formatted, n_turns, loss_spans (start, length, turn from 0, offset in the turn; in characters), attachments; from conv_id, turn, role, parts."""
     role = F.coalesce("role", F.lit(""))
     rows = messages.select("conv_id", "turn", role.alias("role"), flattened(F.col("parts")).alias("body"), attachments(F.col("parts")).alias("held"))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS))
     rows = rows.withColumn("head", head).withColumn("said", F.concat("head", "body", F.lit(END)))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "held")
     rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum(F.length("said").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    span = F.struct((F.col("upto") - F.length("said") + F.length("head")).alias("start"), F.length("body").alias("length"))
+    span = F.struct((F.col("upto") - F.length("said") + F.length("head")).alias("start"), F.length("body").alias("length"), (F.col("nth") - 1).alias("turn"), F.length("head").alias("offset"))
     rows = rows.withColumn("span", F.when(F.col("role") == loss_role, span))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("nth", "said", "span", "held"))).alias("turns"))
     return turns.select(
@@ -80,8 +85,12 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s.start + 1).cast("int"), s.length))), "")
+    """The text under the loss mask, each span taken from its own turn."""
+
+    def under(turns: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(F.get(turns, s.turn), s.offset + 1, s.length))), "")
+
+    return F.transform(F.array(F.split(formatted, r"<\|end\|>")), under)[0]  # split once
 
 
 def digests(chats: DataFrame) -> DataFrame:
