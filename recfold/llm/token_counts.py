@@ -1,13 +1,14 @@
 """Token counts of whole texts for a SentencePiece BPE model with the whole-token shortcut.
 
 The model writes a space as a mark that begins a piece and never stands inside one, so no merge
-crosses the border before a space and a text's count is the sum over its words. Offline, once per
-worker, every vocabulary string that can stand for a word is put through the library: those that come
-back as their own single id are proven and count one from then on. Other words are merged by the
-library, once each. Texts in which marks could meet (double, leading or trailing spaces, or the mark
+crosses the border before a space and a text's count is the sum over its words. Offline, before any
+text is read, every vocabulary string that can stand for a word is put through the library: those that
+come back as their own single id are proven and count one from then on. The proven strings, a part of
+the vocabulary, are sent to the workers. Other words are merged by the library, once each. Texts in which marks could meet (double, leading or trailing spaces, or the mark
 character itself) go to the library whole.
 
-Nulls: a null text is empty and counts zero; a null doc_id is kept. Further columns are ignored.
+Nulls: a null text is empty and counts zero; a null doc_id is kept. A very long text is counted whole.
+Repeated rows are counted once each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_batches, only
+from .common import map_batches, only, slices
 
 SPACE_MARK = "▁"
 _UNSAFE = f"  |^ | $|{SPACE_MARK}"
@@ -34,12 +35,20 @@ def whole_tokens(model) -> set[str]:
     return {w for (i, w), ids in zip(words, model.encode([w for _, w in words], num_threads=1), strict=True) if ids == [i]}
 
 
+@lru_cache(maxsize=2)
+def proven(path: str) -> frozenset[str]:
+    """The whole tokens of a model, proven once a driver."""
+    import sentencepiece
+
+    return frozenset(whole_tokens(sentencepiece.SentencePieceProcessor(model_file=path)))
+
+
 class TokenCounter:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, whole: frozenset[str], cache_words: int = CACHE_WORDS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.whole = whole_tokens(self.model)
+        self.whole = whole
         self.merged: dict[str, int] = {}
         self.cache_words = cache_words
 
@@ -71,18 +80,18 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    """One counter, and one proof of its whole tokens, per worker and model."""
-    return TokenCounter(path)
+_COUNTERS: dict[str, TokenCounter] = {}
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row. No shuffle."""
+    whole = docs.sparkSession.sparkContext.broadcast(proven(model))  # of the vocabulary's size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = counter(model)
-        for batch in batches:
+        if model not in _COUNTERS:  # one a worker
+            _COUNTERS[model] = TokenCounter(model, whole.value)
+        of = _COUNTERS[model]
+        for batch in slices(batches):
             text = batch.column("text")
             n = of.count(text)
             n_bytes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
