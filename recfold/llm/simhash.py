@@ -13,8 +13,10 @@ holds more than two blocks; of a large bucket only a spanning forest of its link
 has the same components.
 
 Nulls: a null text has no words; without words the fingerprint is zero, and links like any other. A
-null doc_id is kept and never becomes a component's id. Repeated rows are kept. Further columns are
-ignored by ``near_duplicates``.
+null doc_id is kept and never becomes a component's id, unless no other is there. Very long texts are
+hashed whole, in steps. A bit that exactly half of the shingles have is zero. Repeated rows are kept, as
+one node. An empty table gives no rows. Further columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, numbered, only, slices, written
+from .common import fresh_name, map_batches, numbered, only, slices, written
 from .graph import components
 
 SEED = 42
@@ -326,15 +328,14 @@ def near_copies(rows: DataFrame, words_per_shingle: int = 5, similarity: float =
     found = components(links_in_buckets(keyed, compared, max_bits, pivots, least_equal, min(block, COMPARED), similarity))
     roots = written(found.withColumnRenamed("node", "id"), "roots")
     each = sketched.select("row", "id")
-    copied = each.groupBy("id").agg(F.count("*").alias("n")).join(roots, "id", "left").filter("n > 1 or root is not null")
+    # written before it is met, so that the rows of a text that very many share can be split
+    copied = written(each.groupBy("id").agg(F.count("*").alias("n")).join(roots, "id", "left").filter("n > 1 or root is not null"), "copied")
     return each.join(copied, "id").select("row", F.coalesce("root", "id").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near copies, its least doc_id (a null last, then the first read). Texts without words are copies of each other."""
-    name = "row"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh_name(docs, "row")
     rows = numbered(docs, name)
     groups = near_copies(rows.select(F.col(name).alias("row"), "text"), **options)
     ranked = rows.select(F.col(name).alias("row"), "doc_id").join(groups, "row")
