@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import crc32_u32, list_array, list_parts, map_batches, only, slices
 
+#: Rows after which a writer looks whether its stripe is full: they may be long.
+CHECK_ROWS = 500
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -41,7 +43,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, strip
 
     ranged = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
     writer = map_batches(ranged, encode, SCHEMA).write.mode("overwrite")
-    for key, value in {"orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": false_positives}.items():
+    for key, value in {"orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": false_positives, "orc.rows.between.memory.checks": CHECK_ROWS}.items():
         writer = writer.option(key, str(value))
     writer.orc(path)
 
