@@ -47,7 +47,7 @@ from .common import fresh_name, gathered, map_batches, numbered, only, release,
 
 SHARE = 5
 #: Spans of a bucket whose suffixes one task sorts.
-SPANS_PER_SHARE = 512
+SPANS_PER_SHARE = 64
 #: Places of which identifiers are held at a time.
 BLOCK = 1 << 18
 #: Depth up to which identifiers of all places are made; greater ones only where they are asked for.
