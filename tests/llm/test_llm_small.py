@@ -7,12 +7,13 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from recfold.llm import chat, decontaminate, graph, html_extract, licenses, orc_output, packing, quality, simhash, suffix_dedup, token_counts, tokens
+from recfold.llm import chat, common, decontaminate, graph, html_extract, licenses, orc_output, packing, quality, queries, simhash, suffix_dedup, token_counts, tokens
 from recfold.llm.common import fresh_path, is_scan, numbered, table
 from recfold.llm.queries import tokenizer_path
 
@@ -48,7 +49,7 @@ def test_token_counts_equal_the_library(spark):
     want = [(i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 5) for i, t in [*enumerate(ODD), (None, "a")]]
     assert rows_of(found, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
     proven = token_counts.whole_tokens(model)
-    assert proven and all(len(model.encode(w)) == 1 for w in list(proven)[:500])
+    assert proven == token_counts.proven(tokenizer_path(PIECES)) and all(len(model.encode(w)) == 1 for w in proven)
 
 
 def plain_best_fit(lengths, limit):
@@ -137,6 +138,31 @@ def test_orc_round_trip_and_pruning(spark):
     assert read.filter("doc_id = 7").count() == 2
 
 
+def test_orc_files_have_stripes_indexes_and_bloom_filters(spark):
+    path = fresh_path(spark, "orc")
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(4000)]
+    orc_output.write_orc(docs(spark, rows).coalesce(1), path, tokenizer_path(BPE), stripe_bytes=1 << 16, index_rows=1000)
+    orc = spark.sparkContext._jvm.org.apache.orc
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    stripes, kinds, upto = 0, set(), []
+    for name in sorted(files):
+        reader = orc.OrcFile.createReader(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        stats = reader.getStatistics()[2]  # of doc_id
+        if stats.getNumberOfValues():
+            upto.append((stats.getMinimum(), stats.getMaximum()))
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert footer.getColumns(5).getKind().toString() in ("DIRECT_V2", "DIRECT")  # of ids: run lengths
+    assert stripes > len(files) and {(2, "ROW_INDEX"), (2, "BLOOM_FILTER_UTF8")} <= kinds
+    assert all(a[1] < b[0] for a, b in zip(upto, upto[1:], strict=False))  # ascending in the order of names
+    found = orc_output.digests(orc_output.read_orc(spark, path)).orderBy("start").collect()
+    assert [r.doc_id for r in found] == list(range(4000))
+
+
 def plain_quality(text):
     words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
     five = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -152,17 +178,62 @@ def test_quality_counts():
         assert quality.text_counts(t) == plain_quality(t)
 
 
-def test_quality_cutoffs_follow_their_group(spark):
-    clean = " ".join(f"word{i}" for i in range(40))
-    rows = [(i, clean, "en", "a") for i in range(300)] + [(i, clean + " ###" * 20, "en", "a") for i in range(300, 305)] + [(i, clean + " ###" * 20, None, "b") for i in range(305, 600)] + [(600, "short", "en", None), (601, None, None, None), (602, " ".join(f"w{i} w{i}" for i in range(30)), "en", "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kept = {r.doc_id: r.kept for r in quality.quality(df).collect()}
-    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 305))
-    assert not kept[600] and not kept[601] and not kept[602]
-    symbolic = [(i, " ".join(f"w{i}{k} #{k}#" for k in range(40)), "xx", "c") for i in range(1000, 1300)]
-    both = df.union(spark.createDataFrame(symbolic, df.schema))
-    assert all(r.kept for r in quality.quality(both).filter("doc_id >= 1000").collect())  # usual in their own source
-    assert quality.quality_filter(docs(spark, [(1, clean), (2, "no")])).count() == 1
+def plain_kept(rows):
+    """Of (text, lang, source): whether each is kept, by sorted values rather than sketches."""
+    floor = lambda v: v if v < 16 else v >> v.bit_length() - 5 << v.bit_length() - 5
+    counts = [plain_quality(t) for t, _, _ in rows]
+    failed = [n < 10 or 100 * twice > 20 * n for n, _, _, _, twice, _ in counts]
+    ratios = [(s * 10**6 // max(c, 1), c * 1000 // max(n, 1), d * 10**6 // max(n, 1), e * 10**6 // max(n, 1)) for n, c, s, d, _, e in counts]
+    kept = [not f for f in failed]
+
+    def quartiles(inside, r):
+        v = sorted(floor(ratios[i][r]) for i in inside if not failed[i])
+        return [v[-(-len(v) * k // 4) - 1] if v else 0 for k in (1, 2, 3)], len(v)
+
+    for r in range(4):
+        every, _ = quartiles(range(len(rows)), r)
+        levels = {}
+        for lang in {x[1] for x in rows}:
+            of, n = quartiles([i for i, x in enumerate(rows) if x[1] == lang], r)
+            of = [(n * a + max(200 - n, 0) * b) // max(n, 200) for a, b in zip(of, every, strict=True)]
+            for source in {x[2] for x, f in zip(rows, failed, strict=True) if x[1] == lang and not f}:
+                own, n = quartiles([i for i, x in enumerate(rows) if x[1:] == (lang, source)], r)
+                levels[lang, source] = [(n * a + max(200 - n, 0) * b) // max(n, 200) for a, b in zip(own, of, strict=True)]
+        spreads = sorted(q3 - q2 for _, q2, q3 in levels.values())
+        usual = spreads[(len(spreads) + 1) // 2 - 1]
+        for i, x in enumerate(rows):
+            if not failed[i]:
+                q1, q2, q3 = levels[x[1:]]
+                high = q2 + 8 * min(q3 - q2, max(q2 - q1, usual))
+                n_words, chars, symbols, lines, _, echoes = counts[i]
+                if r == 1:
+                    kept[i] &= q2 - max(8 * (q2 - q1), q2 // 2) <= ratios[i][1] <= max(high, q2 + q2 // 2)
+                else:
+                    kept[i] &= max((symbols, 0, lines, echoes)[r] - 3, 0) * 10**6 <= high * max((chars, 0, n_words, n_words)[r], 1)
+    return kept
+
+
+def quality_rows():
+    """Sources with other usual levels, one of which is junk to 40 %, and texts out of their source's range."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
+    prose = lambda marks, n=60: " ".join(word() + ("#" if rng.random() < marks else "") for _ in range(n))
+    rows = [(prose(0), "en", "clean") for _ in range(300)] + [(prose(0.3), "en", "code") for _ in range(300)] + [(prose(0) if i % 5 < 3 else prose(0) + " $$$$$$" * 12, "en", "mixed") for i in range(500)]
+    rows += [(prose(0.002), "de", "clean") for _ in range(250)] + [(prose(0), None, None) for _ in range(20)]
+    rows += [(prose(0.3), "en", "clean"), (prose(0) + " ######" * 30, "en", "code"), (" ".join("a b c d e f g h i j k l".split() * 1), "en", "clean"), (" ".join(f"{word()} " * 2 for _ in range(40)), "de", "clean"), ("short", "en", None), (None, None, None), ("", "de", "clean")]
+    rows.append(("\n".join([*(prose(0, 9) for _ in range(20)), *["one line"] * 30]), "de", "clean"))
+    return rows
+
+
+def test_quality_cutoffs_follow_their_source(spark):
+    rows = quality_rows()
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = [r.kept for r in quality.quality(df).orderBy("doc_id").collect()]
+    assert kept == plain_kept(rows)
+    assert all(kept[:300]) and all(kept[300:600]) and [kept[i] for i in range(600, 1100)] == [i % 5 < 3 for i in range(500)]
+    assert not any(kept[1370:])  # what is usual in one source is not in another
+    cuts = {(r.cut_lang, r.cut_source): r for r in quality.cutoffs(quality.sketches(quality.with_counts(df, "counts").select("lang", "source", "counts.*"))).collect()}
+    assert cuts["en", "code"].most_symbols > 0 == cuts["en", "clean"].most_symbols and cuts["en", "mixed"].most_symbols < 150_000
 
 
 def test_sketch_buckets_are_monotone_and_tight(spark):
@@ -269,6 +340,29 @@ def test_repeats_by_brute_force(spark, seed, monkeypatch):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+# Two different texts whose rolling hashes modulo 2 ** 64 are equal under any odd multiplier.
+ALIKE = [
+    "hydditovhostcknlkavhhmknfbixoxeroaeftmgg=..=.==..==.=..=.==.=..==..=.==.6VV6V66VV66V6VV6V66V6VV66VV6V66VNUUNUNNUUNNUNUUNUNNUNUUNNUUNUNNUImmImIImmIImImmImIImImmIImmImIIm+((+(++((++(+((+(++(+((++((+(++(",
+    "hydditovhostcknlkavhhmknfbixoxeroaeftmgg.==.=..==..=.==.=..=.==..==.=..=V66V6VV66VV6V66V6VV6V66VV66V6VV6UNNUNUUNNUUNUNNUNUUNUNNUUNNUNUUNmIImImmIImmImIImImmImIImmIImImmI(++(+((++((+(++(+((+(++((++(+((+",
+]
+
+
+def test_strings_that_weak_identifiers_confuse_stay(spark):
+    found = suffix_dedup.digests(suffix_dedup.repeats(docs(spark, enumerate([*ALIKE, ALIKE[0] + "x"]))))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 200, 1: 0, 2: 200}
+
+
+def test_identifiers_that_clash_are_made_anew(spark):
+    bits, rng = 6, random.Random(6)
+    shared = ["".join(rng.choice("abcdef") for _ in range(90)) for _ in range(4)]
+    texts = ["".join("".join(rng.choice("ghij") for _ in range(rng.randint(5, 60))) + rng.choice(shared)[rng.randint(0, 40) :] for _ in range(3)) for _ in range(30)]
+    rows = docs(spark, enumerate(texts))
+    found = suffix_dedup.digests(suffix_dedup.repeats(rows, length=20, first_bits=bits))
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *x) for i, x in enumerate(plain_repeats(texts, 20))), key=repr)
+    first = suffix_dedup.claimed_intervals(numbered(rows.select("doc_id", "text"), "row"), 20, 0, bits)
+    assert suffix_dedup.differ(numbered(rows.select("doc_id", "text"), "row"), first, 20)  # or this test says nothing
+
+
 def test_large_buckets_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPANS_PER_SHARE", 4)
     rng = random.Random(9)
@@ -289,19 +383,65 @@ def test_remove_repeats_keeps_the_other_columns(spark):
 def test_decontamination(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([30, 60, 9, 20, 4])] + [(5, None), (6, "")]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([30, 60, 9, 20, 4])] + [(5, None), (6, ""), (None, " ".join(word() for _ in range(7)))]
     filler = lambda n: " ".join(word() for _ in range(n))
     swap = lambda text, at: " ".join("zzzz" if i in at else w for i, w in enumerate(text.split()))
     rows = [
         (1, filler(20) + " " + items[0][1].upper().replace(" ", ", ") + " " + filler(5)), (2, swap(items[1][1], {7, 25, 41})), (3, filler(3) + " " + items[2][1] + " " + filler(3)), (4, filler(200)), (5, None), (6, ""),
         (7, " ".join(items[3][1].split()[:6]) + " " + filler(30)), (8, items[4][1]), (9, "the " * 50), (None, items[0][1]),
+        (10, filler(4) + " " + items[7][1]), (11, "more " + items[4][1]),  # an item without id; more than an item of four words
     ]
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, words int")
-    for seeds in (100_000, 40):  # one block of the benchmark, and several
-        found = decontaminate.contaminations(docs(spark, rows), benchmark, broadcast_seeds=seeds)
-        assert rows_of(found, "doc_id", "item_id") == sorted([(1, 0), (2, 1), (3, 2), (None, 0)], key=repr)
+    for seeds in (100_000, 40):  # a benchmark that is broadcast, and one that is not
+        found = decontaminate.contaminations(docs(spark, rows), benchmark, broadcast_seeds=seeds, broadcast_words=seeds)
+        assert rows_of(found, "doc_id", "item_id") == sorted([(1, 0), (2, 1), (3, 2), (8, 4), (10, None), (None, 0)], key=repr)
     kept = decontaminate.decontaminate(docs(spark, rows), benchmark)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 9, 11]
+
+
+def plain_best(ours, theirs, share, gap):
+    """(most, of): the best stretch over agreeing places, by trying all of them."""
+    same = [a == b for a, b in zip(ours, theirs, strict=True)]
+    best = (0, 0)
+    for i, x in enumerate(same):
+        if x and (not i or not same[i - 1]):
+            agree = gone = 0
+            for j in range(i, len(same)):
+                agree, gone = (agree + 1, 0) if same[j] else (agree, gone + 1)
+                if gone > gap:
+                    break
+                if same[j] and agree >= share * (j - i + 1):
+                    best = max(best, (agree, j - i + 1))
+    return best
+
+
+def test_contaminations_by_brute_force(spark):
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    items = [[word() for _ in range(rng.choice([2, 4, 5, 6, 7, 8, 9, 11, 13, 16, 18, 20, 25, 40]))] for _ in range(50)]
+    texts = [items[1], items[1][:2]]
+    for _ in range(250):
+        item = rng.choice(items)
+        a = rng.randint(0, len(item) // 3)
+        part = [word() if rng.random() < rng.choice([0, 0.1, 0.2, 0.3]) else w for w in item[a : a + rng.randint(3, 40)]]
+        texts.append([word() for _ in range(rng.randint(0, 30))] + part + [word() for _ in range(rng.randint(0, 30))])
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n = len(item)
+            if n < 5:
+                if text == item:
+                    want[d, i] = n
+                continue
+            best = max(plain_best([text[k] if 0 <= k < len(text) else None for k in range(at, at + n)], item, 0.7, 3)[0] for at in range(1 - n, len(text)))
+            if best >= (n if n < 8 else min(13, -(-7 * n // 10))):
+                want[d, i] = best
+    rows = docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)])
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for seeds in (100_000, 10):
+        found = {(r.doc_id, r.item_id): r.n_words for r in decontaminate.contaminations(rows, benchmark, broadcast_seeds=seeds, broadcast_words=seeds).collect()}
+        assert set(found) == set(want) and len(want) > 80
+        assert all(0.7 * want[k] <= found[k] <= want[k] for k in want)
 
 
 def test_licenses(spark):
@@ -315,6 +455,58 @@ def test_licenses(spark):
     assert found[None] == (["mit-released"], ["MIT"]) and found[6][1] == ["MIT", "CC-BY-NC-4.0"]
 
 
+# Texts of public licences, as they are published.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software."
+
+
+def test_licence_texts_in_every_layout(spark, tmp_path):
+    import textwrap
+
+    wrapped = lambda text, width, leader="": "\n".join("\n".join(leader + x for x in textwrap.wrap(p, width) or [""]) for p in text.split("\n"))
+    texts, rows, want = {"MIT": MIT_TEXT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL_3, "ISC": ISC, "Unlicense": UNLICENSE}, [], []
+    for name, text in texts.items():
+        for shown in (text, wrapped(text, 72), wrapped(text, 40), wrapped(text, 76, "# "), wrapped(text, 70, " * "), wrapped(text, 60, "// ").replace("\n", "\r\n"), "Some words before.\n\n" + wrapped(text, 65) + "\n\nand after"):
+            rows.append(shown), want.append([name])
+    lines = {
+        "SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x;": ["Apache-2.0", "MIT"], "This project is licensed under the MIT License.": ["MIT"], "Released under the GNU GPL v3 or later.": ["GPL-3.0-or-later"],
+        'Licensed under the Apache License, Version 2.0 (the "License");': ["Apache-2.0"], "Available under the Mozilla Public License, version 2.0": ["MPL-2.0"], "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "The code is distributed under the terms of the BSD 3-Clause License.": ["BSD-3-Clause"], "No licence here, but copyright and permission.": [], BSD_2 + "\n" + BSD_3: ["BSD-2-Clause", "BSD-3-Clause"], BSD_3 + "\n\n" + BSD_2: ["BSD-2-Clause", "BSD-3-Clause"],
+        "first line\nReleased under the MIT License.\nanother line": ["MIT"],
+    }
+    rows, want = rows + list(lines), want + list(lines.values())
+    found = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, enumerate(rows))).collect()}
+    docs(spark, enumerate(rows)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = sorted(duck.sql(queries.SQL["op6_license_scan"]).fetchall())
+    assert sql == sorted(map(tuple, queries.op6_license_scan(spark, str(tmp_path)).collect()))
+    assert [(rows[i], found[i], sorted(w)) for i, w in enumerate(want) if sorted(found[i]) != sorted(w)] == []
+
+
 HARD = ["<|end|>", "<|turn|>user<|says|>", "\\s\\l<\\|", "\\### Assistant: </turn> ok", "<", "|end|>", "", None, "a\nb"]
 
 
@@ -326,6 +518,7 @@ def test_chat_round_trip(spark):
     for c in (1, 2):
         assert [(t.role, t.text) for t in read[c].turns] == [(r or "", t or "") for i, _, r, t in rows if i == c]
         assert read[c].loss == "".join(t or "" for i, _, r, t in rows if i == c and r == "assistant")
+        assert all(read[c].formatted[s.start - s.offset :].startswith(chat.TURN + "assistant" + chat.SAYS) for s in read[c].loss_spans)
     assert read[3].n_turns == 2 and read[3].loss == "xx" and read[None].loss == "n"
 
 
@@ -335,6 +528,11 @@ def test_chat_parts(spark):
     out = chat.format_chat(df).first()
     assert out.formatted == "<|turn|>user<|says|>see \\l|end|><|image|><|audio|><|document|><|end|><|turn|>assistant<|says|><|end|>"
     assert [tuple(a) for a in out.attachments] == [("image", "img://1", 1024), ("audio", "a", 25), ("document", "d", 1024)]
+    assert out.formatted[out.loss_spans[0].start :][: out.loss_spans[0].length] == "" and out.loss_spans[0].turn == 1
+    tied = spark.createDataFrame([(1, 0, "user", [("image", None, r, 1)]) for r in ("b", "a", "c")], df.schema)
+    for rows in (tied, tied.orderBy(chat.F.monotonically_increasing_id().desc())):
+        assert [a.ref for a in chat.format_chat(rows).first().attachments] == ["a", "b", "c"]
+    assert chat.digests(chat.format_chat(df.limit(0))).count() == 0
     with pytest.raises(Exception, match="unknown part kind"):
         chat.format_chat(spark.createDataFrame([(1, 0, "u", [("video", None, None, None)])], df.schema)).collect()
 
@@ -351,6 +549,30 @@ def test_html(spark):
     assert found[1][1] == len(found[1][0]) and found[2] == ("", 0) and found[None] == ("", 0) and found[3] == ("", 0) and found[5][0] == "plain <text"
 
 
+BODY = "<article><p>Hello there my friends, this is text.</p><p>And here is more of it.</p></article>"
+SAID = "Hello there my friends, this is text.\nAnd here is more of it."
+
+
+def test_html_that_leaves_elements_open():
+    text = html_extract.default_model().extract
+    for before in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title><style>a{}</style>", "<title>T</title>", "<head><script>x</script></head><body>", "<body><svg viewBox='0'/>", "<body><iframe src=x>", "<body><select>", "<body><object data=x>", "<body><button>", "<body><video src=x>"):
+        assert text(before + BODY) == SAID, before
+    assert text("<body>" + BODY + "<script>var a = 1; <p>never</p>") == SAID and text("<body>" + BODY + "<!-- <p>never</p>") == SAID
+    assert text("<body><svg><title>no</title></svg><iframe>no</iframe><noscript>no</noscript>" + BODY) == SAID
+    assert text(BODY.replace("<article>", '<article class="post sidebar-layout has-comments">')) == SAID
+    assert text(BODY.replace("text.", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>.")) == SAID.replace("text.", "x=1.")
+    assert text("<select>" * 3000 + BODY) == SAID  # in one pass
+
+
+def test_html_held_out_pages_are_whole():
+    """Whole pages of the held-out generator against the text of their labelled blocks."""
+    model, right, pages = html_extract.default_model(), 0, html_extract.labelled_pages(100, seed=99)
+    for page in pages:
+        nodes, blocks = html_extract.parse(page)
+        right += model.extract(page) == "\n".join(t for i, t in blocks if nodes[i].label == "C")
+    assert right / len(pages) > 0.8
+
+
 def test_html_held_out_accuracy():
     model, right, n = html_extract.default_model(), 0, 0
     for page in html_extract.labelled_pages(80, seed=1234):
@@ -381,6 +603,39 @@ def test_html_marginals_equal_enumeration():
     assert np.allclose(belief, total / total.sum(axis=1, keepdims=True))
 
 
+#: Names that operators use for columns of their own.
+CLASHES = "row found kept base_failed cut_lang cut_source most_symbols least_length all of_lang file_number numbered_file numbered_nth numbered_place quality_counts hit_doc words seed at key n id root rank counts n_words row_ found_".split()
+
+
+@pytest.mark.parametrize("stored", [True])
+def test_columns_with_clashing_names_are_kept(spark, tmp_path, stored):
+    rng = random.Random(12)
+    words = [f"word{rng.randint(0, 900)}" for _ in range(60)]
+    passage = " ".join(f"shared{i}" for i in range(40))
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "other " * 3 + passage + " ".join(words[::-1])), (4, passage + " ".join(reversed(words[:50]))), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", *(f"{c}{i}" for c in CLASHES)) for i, t in rows], ", ".join(["doc_id long, text string, lang string, source string", *(f"`{c}` string" for c in CLASHES)]))
+    if stored:
+        df.write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    benchmark = spark.createDataFrame([(1, " ".join(words[:20]), "x")], "item_id long, text string, words string")
+    for stage, left in ((quality.quality_filter, {1, 2, 3, 4}), (simhash.drop_near_copies, {1, 3, 4, 5}), (suffix_dedup.remove_repeats, {3, 5}), (lambda d: decontaminate.decontaminate(d, benchmark), {3, 4, 5})):
+        out = stage(df)
+        got = out.collect()
+        assert out.columns == df.columns and {r.doc_id for r in got} == left
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES)
+    for thin in (quality.quality, suffix_dedup.repeats, simhash.near_duplicates, licenses.scan, lambda d: packing.pack(d, tokenizer_path(BPE))[0], lambda d: token_counts.token_counts(d, tokenizer_path(PIECES))):
+        assert thin(df).count() >= 5
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_scans_are_told_apart(spark):
     df = table(spark, "/root/testdata/sf0.001", "documents")
     assert is_scan(df) and is_scan(df.select("doc_id", "text"))

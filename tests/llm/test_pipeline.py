@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from recfold.llm import tokens
 from recfold.llm.queries import tokenizer_path
-from tests.llm.test_llm_small import plain_best_fit, plain_quality
+from tests.llm.test_llm_small import plain_best_fit, plain_kept
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,11 +32,8 @@ def corpus():
 
 def plain_pipeline(texts, leak):
     """The documents that stay, with their texts, stage by stage."""
-    kept = {}
-    for i, t in texts.items():
-        n, chars, symbols, _, twice, echoes = plain_quality(t)
-        if n >= 10 and 100 * twice <= 20 * n and symbols <= 0.02 * chars and echoes <= 0.2 * n:
-            kept[i] = t
+    good = plain_kept([(t, "en", "s") for t in texts.values()])
+    kept = {i: t for (i, t), k in zip(texts.items(), good, strict=True) if k}
     shingles = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in kept.items()}
     for i in sorted(kept):
         if any(j < i and j in kept and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) for j in list(kept)):
@@ -69,3 +66,9 @@ def test_stages_and_run(spark, folder):
     lengths = [x for n in (len(i) + 1 for i in ids) for x in ([1024] * (n // 1024) + [n % 1024] * (n % 1024 > 0))]
     assert Counter(r.length for r in packed) == Counter(lengths) and {r.doc_id for r in packed} == set(want)
     assert len({r.sequence_id for r in packed}) == plain_best_fit(lengths, 1024)[0]
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x " * 20)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
