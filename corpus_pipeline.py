@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of ``documents``.
+
+For every stage: null, empty and very long texts are rows like any other and are read whole; further
+columns are kept up to the last stage, whatever their names; an empty table gives an empty table. A
+null doc_id, lang or source is a value of its own. What ties and repeated rows give stands at each stage.
 """
 
 from __future__ import annotations
@@ -18,27 +22,27 @@ from recfold.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the adaptive cutoffs reject go."""
+    """Documents that the base rules or the adaptive cutoffs reject go, null and empty texts among them. Repeated rows share their verdict."""
     return quality_filter(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact or near copies the least doc_id stays."""
+    """Of each group of exact or near copies the least doc_id stays; of equal ones the first read, a null last. Texts without words are one group."""
     return drop_near_copies(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that start in two places or more are cut out; what is left stays, unless it is blank."""
+    """Strings of 200 bytes that start in two places or more are cut out, every one of them; what is left stays, unless it is blank. Null and empty texts stay."""
     return remove_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows that share a doc_id, or have none, are judged together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences of at most 1024 tokens."""
+    """The place of each piece of each document in sequences of at most 1024 tokens. A null text is empty, repeated rows are packed once each, and pieces of equal length are told apart by rank."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))[0]
 
 
